@@ -1 +1,166 @@
-ORACLE = {}
+"""SQL of the queries, for DuckDB over the same tables."""
+
+from __future__ import annotations
+
+# The pipeline's view of the documents table.
+_DOCS = """
+WITH docs AS (
+  SELECT concat(coalesce(source, ''), ':', lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS doc_id, source AS source_id, doc_id AS ord, text, sha256(text) AS h, domain, quality_score,
+         problem_id, is_correct, language_tag, solution, token_count
+  FROM documents)
+"""
+# Word borders that treat accented letters as letters.
+_B, _E = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+
+
+def _word(pattern: str, flags: str = "(?i)") -> str:
+    return f"{flags}{_B}({pattern}){_E}"
+
+
+# A term that ends in a dot has its border between the dot and a word character.
+_OS_IO = _word(r"subprocess|os\.system|docker|paramiko|scrapy|BeautifulSoup|socket\.socket|powershell") + r"|(?i)" + _B + r"(flask\.|django\.)[\p{L}\p{N}_]"
+_CONTROL = _word("if|for|while|elif|else|try|except|return", "")
+_CP_IO = _B + r"(input\s*\(|sys\.stdin|print\s*\()"
+_CP_IO = _B + r"(input\s*\([\p{L}\p{N}_]|sys\.stdin" + _E + r"|print\s*\([\p{L}\p{N}_])"
+_UTILITY = _word(r"pathlib|os\.path|os\.remove|shutil|urllib|BeautifulSoup|selenium|flask|django|tkinter|pygame|argparse|subprocess|socket\.socket") + r"|(?i)" + _B + r"requests\.[\p{L}\p{N}_]"
+_ALGO = _word("sort|search|graph|dfs|bfs|dp|dynamic programming|greedy|tree|hash|algorithm|complexity|theorem|proof|integral|derivative|matrix|numerical")
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+
+
+def _has(col: str, pattern: str) -> str:
+    return f"regexp_matches({col}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+_T = "coalesce(text, '')"
+_CODES = f"""array_to_string(list_filter([
+  CASE WHEN length({_T}) < 32 THEN 'too_short' END, CASE WHEN length({_T}) > 200000 THEN 'too_long' END, CASE WHEN quality_score < 2.0 THEN 'low_edu_score' END,
+  CASE WHEN source_id = 'openmathinstruct_2' AND length(coalesce(solution, '')) < 20 THEN 'openmath_trivial' END, CASE WHEN NOT is_correct THEN 'incorrect_solution' END,
+  CASE WHEN domain = 'python' AND language_tag <> '' AND lower(language_tag) NOT IN ('python', 'python3', 'py') THEN 'not_python' END,
+  CASE WHEN {_has(_T, r"[\x{0400}-\x{04FF}\x{0600}-\x{06FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]")} THEN 'non_english' END,
+  CASE WHEN domain = 'python' AND {_has(_T, _OS_IO)} THEN 'os_io_boilerplate' END], lambda x: x IS NOT NULL), ';')"""
+
+_CODE = f"coalesce(nullif(solution, ''), {_T})"
+_SIGNAL = f"""{_DOCS}, f AS (
+  SELECT ord, domain = 'python' AS py,
+    coalesce(domain = 'python', false) AND {_has(_T, r"(?i)(#include\s*<|using namespace|public static void main|fn main\s*\(|func main\s*\(|package main($|[^\p{L}\p{N}_])|defexn($|[^\p{L}\p{N}_]))")} AS o,
+    {_has(_T, "(?i)(how to use|this chapter|pip install|getting started with|in this tutorial)")} AS t,
+    ({_has(_T, _UTILITY)} OR {_has(_T, _B + r"open\s*\(")}) AND NOT {_has(_T, _CP_IO)} AS u,
+    coalesce(domain = 'python', false) AND {_has(_CODE, _CP_IO)} AS c,
+    coalesce(domain = 'python', false) AND NOT {_has(_CODE, _CP_IO)}
+      AND len(list_filter(regexp_split_to_array({_CODE}, '\\r\\n|[{_ENDS}]'), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '')) <= 4
+      AND NOT {_has(_CODE, _CONTROL)} AND NOT (coalesce(problem_id <> '', false) OR contains(lower({_T}), 'problem')) AS r,
+    coalesce(domain = 'math', false) AND length(coalesce(solution, '')) < 20 AS m,
+    coalesce(domain = 'math', false) AND length(coalesce(solution, '')) >= 20 AND ({_has(_T, r"(?i)(\\frac|\\sum|\\int|prove that|q\.e\.d|therefore)")} OR length(coalesce(solution, '')) >= 40) AS s,
+    coalesce(domain = 'stem', false) AND NOT ({_has(_T, _ALGO)} OR {_has(_T, r"(?i)(\\frac|\\sum|\\int|prove that|q\.e\.d|therefore)")}) AS d
+  FROM docs),
+sc AS (SELECT *, CASE WHEN t OR u THEN 0.0 ELSE 4.0 END AS s1 FROM f),
+sd AS (SELECT *, CASE WHEN c THEN 4.0 WHEN r THEN least(s1, 1.0) ELSE s1 END AS s2 FROM sc),
+se AS (SELECT *, CASE WHEN m THEN least(s2, 1.0) WHEN s THEN 4.0 WHEN d THEN least(s2, 1.0) ELSE s2 END AS s3 FROM sd)
+SELECT ord, CAST(CASE WHEN o THEN 0.0 ELSE s3 END AS DOUBLE) AS highsignal_score,
+  CASE WHEN o THEN 'other_language' ELSE array_to_string(list_filter([CASE WHEN t THEN 'library_tutorial' END, CASE WHEN u THEN 'utility_io' END, CASE WHEN c THEN 'cp_stdin_stdout_keep' END,
+    CASE WHEN r THEN 'trivial' END, CASE WHEN m THEN 'math_thin' END, CASE WHEN d THEN 'stem_not_reasoning_dense' END], lambda x: x IS NOT NULL), ';') END AS codes,
+  (CASE WHEN o THEN 0.0 ELSE s3 END) + 1e-9 >= 3.0 AND NOT o AND NOT t AND NOT u AS accept
+FROM se"""
+
+_TOKENS = f"list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '')"
+_GRAMS = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 12 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')) END"""
+_WINDOWS = """CASE WHEN length(text) = 0 THEN [] WHEN length(text) < 50 THEN [text] ELSE list_transform(range(1, length(text) - 48), lambda i: substring(text, i, 50)) END"""
+_HITS = f"""
+WITH dw AS (SELECT doc_id, text, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL), bw AS (SELECT item_id, text, {_TOKENS} AS w FROM benchmark WHERE text IS NOT NULL),
+refs AS (
+  SELECT 0 AS kind, g, min(item_id) AS item_id FROM (SELECT item_id, unnest({_GRAMS}) AS g FROM bw) GROUP BY g
+  UNION ALL SELECT 1, g, min(item_id) FROM (SELECT item_id, unnest({_WINDOWS}) AS g FROM bw) GROUP BY g),
+grams AS (SELECT doc_id, 0 AS kind, unnest({_GRAMS}) AS g FROM dw UNION ALL SELECT doc_id, 1, unnest({_WINDOWS}) FROM dw),
+hit AS (SELECT DISTINCT doc_id, kind, item_id FROM grams JOIN refs USING (kind, g)),
+best AS (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY kind, item_id) AS rn FROM hit)
+"""
+_PLACED = """
+WITH RECURSIVE lens AS (
+  SELECT doc_id, least(octet_length(encode(text)) + 1, 4096) AS n, octet_length(encode(text)) + 1 > 4096 AS truncated, row_number() OVER (ORDER BY doc_id) AS k
+  FROM documents WHERE text <> ''),
+fold AS (
+  SELECT k, doc_id, n, truncated, CAST(0 AS BIGINT) AS seq_id, CAST(0 AS BIGINT) AS off FROM lens WHERE k = 1
+  UNION ALL
+  SELECT l.k, l.doc_id, l.n, l.truncated, CASE WHEN f.off + f.n + l.n > 4096 THEN f.seq_id + 1 ELSE f.seq_id END, CASE WHEN f.off + f.n + l.n > 4096 THEN 0 ELSE f.off + f.n END
+  FROM fold f JOIN lens l ON l.k = f.k + 1)
+"""
+_LINES = f"SELECT unnest(regexp_extract_all(generated_solution, '[^{_ENDS}]*(?:\\r\\n|[{_ENDS}])|[^{_ENDS}]+')) AS line FROM corpus WHERE generated_solution IS NOT NULL"
+_PAIRS = f"""
+WITH l AS (SELECT line, count(*) AS n FROM ({_LINES}) WHERE line <> '' GROUP BY line), h AS (SELECT hex(encode(line)) AS x, n FROM l),
+p AS (SELECT x, n, unnest(range(0, CAST(length(x) / 2 AS BIGINT) - 1)) AS i FROM h WHERE length(x) > 2)
+SELECT CAST(('0x' || substring(x, 2 * i + 1, 2)) AS INTEGER) + 4 AS left, CAST(('0x' || substring(x, 2 * i + 3, 2)) AS INTEGER) + 4 AS right, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1, 2
+"""
+_SUBS = "SELECT raw_id, id, coalesce(title, '') AS title, coalesce(description, '') AS description, {list} AS subs FROM raw_contests WHERE correct_submissions IS NOT NULL"
+_PY3 = "replace(lower(s.language), ' ', '') IN ('py3', 'python3', 'python')"
+_PID = "coalesce(nullif(id, ''), nullif(title, ''), '')"
+_KNOWN = "(VALUES ('python', 7690000), ('math', 1540000), ('stem', 770000)) AS k(domain, target)"
+_REQUIRED = ("source_id", "url", "license", "provenance", "collection_date", "language", "domain", "quality_score", "contamination_risk", "raw_hash", "normalized_hash", "token_count")
+_MISSING = ", ".join(f"CASE WHEN {c} IS NULL THEN 'missing {c}' END" for c in _REQUIRED)
+_ALLOWED = "'apache-2.0', 'mit', 'bsd-2-clause', 'bsd-3-clause', 'cc-by-4.0', 'cc-by-sa-4.0', 'odc-by-1.0'"
+
+ORACLE = {
+    "normalize_binary": r"""SELECT doc_id, CASE WHEN text = '' THEN false ELSE contains(text, chr(0)) OR length(regexp_replace(regexp_replace(text, '[\n\r\t ]', 'x', 'g'), '[\pC\pZ]', '', 'g')) / length(text) < 0.85 END AS is_binary FROM documents""",
+    "hash_equality": "SELECT doc_id, sha256(text) AS h FROM documents",
+    "python3_tags": "SELECT language_tag, count(*) AS n, coalesce(replace(lower(language_tag), ' ', '') IN ('py3', 'python3', 'python'), false) AS is_python3 FROM corpus GROUP BY language_tag",
+    "contract_missing": f"SELECT manifest_id, array_to_string(list_filter([{_MISSING}], lambda x: x IS NOT NULL), ';') AS errors FROM data_manifest",
+    "license_inventory": f"""SELECT manifest_id, CASE WHEN coalesce(identity_status, '') <> 'verified' OR coalesce(license, '') = '' OR license NOT IN ({_ALLOWED}) THEN 'blocked' ELSE 'admitted' END AS status,
+      CASE WHEN coalesce(identity_status, '') <> 'verified' THEN 'identity unresolved' WHEN coalesce(license, '') = '' THEN 'license unverifiable' WHEN license NOT IN ({_ALLOWED}) THEN concat('license not on allowlist: ', license) END AS block_reason
+      FROM data_manifest""",
+    "inventory_backfill": """SELECT m.source_id, CAST(coalesce(sum(d.token_count), 0) AS BIGINT) AS token_count, count(d.doc_id) AS fetch_rows FROM (SELECT DISTINCT source_id FROM data_manifest WHERE source_id IS NOT NULL) m
+      LEFT JOIN documents d ON d.source = m.source_id GROUP BY m.source_id""",
+    "manifest_shards": "SELECT source_id, domain, coalesce(token_count, 0) AS token_count, status FROM data_manifest",
+    "ingest_filter": """SELECT row_id AS doc_id, CASE WHEN NOT is_correct THEN 'incorrect_solution' ELSE 'not_python' END AS reason FROM corpus
+      WHERE problem_id IS NOT NULL AND (coalesce(NOT is_correct, false) OR lower(coalesce(nullif(language_tag, ''), 'python')) NOT IN ('python', 'python3', 'py'))""",
+    "expand_contests": f"""WITH r AS ({_SUBS.format(list=f"list_filter(correct_submissions, lambda s: coalesce({_PY3}, false) AND coalesce(s.code, '') <> '')[1:8]")}),
+      e AS (SELECT *, unnest(range(0, len(subs))) AS item FROM r)
+      SELECT raw_id, CAST(item AS INTEGER) AS item, concat('# ', title, chr(10), '# ', {_PID}, chr(10), chr(10), description, chr(10), chr(10), '# solution', chr(10), subs[item + 1].code, chr(10)) AS text, {_PID} AS problem_id, subs[item + 1].code AS solution FROM e""",
+    "expand_parallel_solutions": f"""WITH r AS ({_SUBS.format(list=f"list_filter(correct_submissions, lambda s: coalesce({_PY3}, false) AND coalesce(s.code, '') <> '')[1:8]")}),
+      e AS (SELECT *, unnest(range(0, len(subs))) AS item FROM r)
+      SELECT raw_id, CAST(item AS INTEGER) AS item, concat('# ', title, chr(10), '# dm:', title, chr(10), chr(10), description, chr(10), chr(10), '# solution', chr(10), subs[item + 1].code, chr(10)) AS text, concat('dm:', title) AS problem_id FROM e""",
+    "expand_solution_lists": f"""WITH r AS ({_SUBS.format(list="list_filter(correct_submissions, lambda s: coalesce(s.code, '') <> '')[1:8]")}), e AS (SELECT *, unnest(range(0, len(subs))) AS item FROM r)
+      SELECT raw_id, CAST(item AS INTEGER) AS item, concat(description, chr(10), chr(10), '# solution', chr(10), subs[item + 1].code, chr(10)) AS text, concat('apps:', coalesce(nullif(id, ''), '')) AS problem_id FROM e""",
+    "extract_math": "SELECT row_id, concat(coalesce(problem, ''), chr(10), chr(10), generated_solution) AS text, generated_solution AS solution FROM corpus WHERE language_tag IS NULL AND generated_solution IS NOT NULL",
+    "make_documents": r"""SELECT concat('web:', lpad(CAST(row_id AS VARCHAR), 6, '0'), ':00') AS doc_id, 'web' AS source_id, 'en' AS language, 'stem' AS domain, score AS quality_score, 'unchecked' AS contamination_risk, sha256(text) AS normalized_hash, 'candidate' AS status, text
+      FROM corpus WHERE text <> '' AND NOT (contains(text, chr(0)) OR length(regexp_replace(regexp_replace(text, '[\n\r\t ]', 'x', 'g'), '[\pC\pZ]', '', 'g')) / length(text) < 0.85)""",
+    "exact_dedup": _DOCS + "SELECT ord, h AS normalized_hash FROM (SELECT ord, h, row_number() OVER (PARTITION BY h ORDER BY ord) AS rn FROM docs) WHERE h IS NULL OR rn = 1",
+    "exact_dup_removed": _DOCS + "SELECT doc_id, duplicate_of FROM (SELECT doc_id, first_value(doc_id) OVER w AS duplicate_of, row_number() OVER w AS rn FROM docs WHERE h IS NOT NULL WINDOW w AS (PARTITION BY h ORDER BY ord)) WHERE rn > 1",
+    "problem_cap": _DOCS + "SELECT doc_id, problem_id FROM (SELECT doc_id, problem_id, row_number() OVER (PARTITION BY problem_id ORDER BY h NULLS FIRST, ord) AS rn FROM docs WHERE problem_id <> '') WHERE rn > 8",
+    "canonical_order": _DOCS + """, c AS (SELECT *, domain = 'python' AS py FROM docs), g AS (SELECT problem_id, min(ord) AS first_ord FROM c WHERE py AND problem_id <> '' GROUP BY problem_id)
+      SELECT doc_id, CASE WHEN py THEN 1 ELSE 0 END AS is_contest, CASE WHEN py AND g.first_ord IS NOT NULL THEN 1 ELSE 0 END AS grouped, CASE WHEN py THEN coalesce(g.first_ord, 0) ELSE 0 END AS first_ord,
+        CASE WHEN py AND g.first_ord IS NOT NULL THEN h ELSE '' END AS hash FROM c LEFT JOIN g USING (problem_id)""",
+    "quality_rules": _DOCS + f"SELECT ord, {_CODES} AS codes FROM docs",
+    "reason_histogram": _DOCS + f"SELECT 'quality' AS stage, code, count(*) AS n FROM (SELECT unnest(string_split({_CODES}, ';')) AS code FROM docs) WHERE code <> '' GROUP BY code",
+    "highsignal_rules": _SIGNAL,
+    "token_ngrams": f"SELECT doc_id, len(list_distinct({_GRAMS})) AS n_grams FROM (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL)",
+    "reference_index": f"""WITH bw AS (SELECT item_id, text, {_TOKENS} AS w FROM benchmark WHERE text IS NOT NULL), refs AS (
+      SELECT 0 AS kind, g, min(item_id) AS item_id FROM (SELECT item_id, unnest({_GRAMS}) AS g FROM bw) GROUP BY g UNION ALL SELECT 1, g, min(item_id) FROM (SELECT item_id, unnest({_WINDOWS}) AS g FROM bw) GROUP BY g)
+      SELECT kind, CAST(item_id AS VARCHAR) AS ref_id, count(*) AS n_grams FROM refs GROUP BY kind, item_id""",
+    "contamination_hits": _HITS + "SELECT doc_id, CAST(item_id AS VARCHAR) AS matched_ref FROM best WHERE rn = 1",
+    "contamination_report": _HITS + "SELECT (SELECT count(*) FROM benchmark) AS n_refs, count(*) AS n_hits, 0 AS n_unresolved FROM best WHERE rn = 1",
+    "line_multiset": f"SELECT line, count(*) AS n FROM ({_LINES}) WHERE line <> '' GROUP BY line",
+    "bpe_pair_counts": _PAIRS,
+    "bpe_best_pair": f"SELECT * FROM ({_PAIRS}) ORDER BY n DESC, "left", "right" LIMIT 1",
+    "vocabulary_table": "SELECT * FROM (VALUES ('special', 4), ('byte', 256), ('piece', 1030), ('unused', 31478)) AS t(kind, n)",
+    "packing_assign": _PLACED + 'SELECT doc_id, seq_id, off AS "offset", n AS n_packed, truncated FROM fold',
+    "packing_stats": _PLACED + """, s AS (SELECT max(seq_id) + 1 AS q, sum(n) AS used, count(*) FILTER (WHERE truncated) AS cut FROM fold)
+      SELECT q AS n_sequences, CAST(ceil(q / 245.0) AS BIGINT) AS n_shards, q * 4096 AS packed_tokens, CAST(q * 4096 - used AS BIGINT) AS pad_tokens, round((q * 4096 - used) / (q * 4096.0), 6) AS waste_ratio, cut AS truncated_docs, 4096 AS n_ctx FROM s""",
+    "packing_shards": _PLACED + "SELECT CAST(seq_id // 245 AS INTEGER) AS shard_id, count(DISTINCT seq_id) AS n_sequences FROM fold GROUP BY 1",
+    "holdout_split": _PLACED + """, s AS (SELECT DISTINCT seq_id FROM fold), n AS (SELECT max(seq_id) + 1 AS n FROM s)
+      SELECT seq_id, CASE WHEN seq_id < greatest(1, floor(n * 0.02)) THEN 'eval' ELSE 'train' END AS split, CASE WHEN seq_id >= floor(n * 0.9) THEN 'eval' ELSE 'train' END AS tail_split FROM s, n""",
+    "mixture_cap": """WITH RECURSIVE d AS (SELECT doc_id, domain, coalesce(n_chars, 0) AS n, CASE domain WHEN 'python' THEN 200000 WHEN 'math' THEN 100000 WHEN 'stem' THEN 150000 ELSE 0 END AS goal, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS k FROM documents),
+      fold AS (SELECT k, doc_id, domain, goal, n <= goal AS ok, CASE WHEN n <= goal THEN n ELSE 0 END AS used FROM d WHERE k = 1
+      UNION ALL SELECT d.k, d.doc_id, d.domain, d.goal, f.used + d.n <= d.goal, CASE WHEN f.used + d.n <= d.goal THEN f.used + d.n ELSE f.used END FROM fold f JOIN d ON d.domain = f.domain AND d.k = f.k + 1)
+      SELECT doc_id, domain FROM fold WHERE ok""",
+    "domain_tokens": f"SELECT k.domain, CAST(coalesce(sum(d.token_count), 0) AS BIGINT) AS tokens FROM {_KNOWN} LEFT JOIN documents d USING (domain) GROUP BY k.domain",
+    "domain_deviation": f"""WITH t AS (SELECT k.domain, CAST(coalesce(sum(d.token_count), 0) AS BIGINT) AS tokens, any_value(k.target) AS target FROM {_KNOWN} LEFT JOIN documents d USING (domain) GROUP BY k.domain)
+      SELECT domain, tokens, CAST(target AS BIGINT) AS target, CAST(tokens - target AS BIGINT) AS deviation FROM t UNION ALL SELECT 'total', CAST(sum(tokens) AS BIGINT), CAST(sum(target) AS BIGINT), CAST(sum(tokens - target) AS BIGINT) FROM t""",
+    "tokens_per_source": "SELECT source AS source_id, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens, count(*) AS n_docs FROM documents GROUP BY source",
+    "subsource_share": """WITH p AS (SELECT domain, source AS source_id, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens FROM documents GROUP BY domain, source)
+      SELECT domain, source_id, tokens, round(CASE WHEN sum(tokens) OVER w = 0 THEN 0.0 ELSE tokens / sum(tokens) OVER w END, 6) AS share, count(*) OVER w AS n_sources FROM p WINDOW w AS (PARTITION BY domain)""",
+    "share_applicability": """SELECT domain, count(*) AS available_sources, count(*) >= 3 AS applicable, CASE WHEN count(*) >= 3 THEN 'applicable' ELSE 'not_applicable' END AS status
+      FROM (SELECT DISTINCT source_id, domain, status FROM data_manifest) WHERE coalesce(status, '') <> 'blocked' GROUP BY domain""",
+    "blocked_sources": "SELECT DISTINCT source_id FROM data_manifest WHERE status = 'blocked'",
+    "solutions_per_problem": "SELECT problem_id, count(*) AS before, count(*) FILTER (WHERE is_correct) AS after FROM corpus WHERE problem_id <> '' GROUP BY problem_id",
+    "math_gap": "SELECT run_id, created_at, coalesce(math_raw_estimate_vs_plan.raw_estimate, 0) - coalesce(math_raw_estimate_vs_plan.plan_target, 0) AS gap FROM mixture_summary",
+}
