@@ -140,7 +140,7 @@ ORACLE = {
     "contamination_report": _HITS + "SELECT (SELECT count(*) FROM benchmark) AS n_refs, count(*) AS n_hits, 0 AS n_unresolved FROM best WHERE rn = 1",
     "line_multiset": f"SELECT line, count(*) AS n FROM ({_LINES}) WHERE line <> '' GROUP BY line",
     "bpe_pair_counts": _PAIRS,
-    "bpe_best_pair": f"SELECT * FROM ({_PAIRS}) ORDER BY n DESC, "left", "right" LIMIT 1",
+    "bpe_best_pair": f"SELECT * FROM ({_PAIRS}) ORDER BY n DESC, \"left\", \"right\" LIMIT 1",
     "vocabulary_table": "SELECT * FROM (VALUES ('special', 4), ('byte', 256), ('piece', 1030), ('unused', 31478)) AS t(kind, n)",
     "packing_assign": _PLACED + 'SELECT doc_id, seq_id, off AS "offset", n AS n_packed, truncated FROM fold',
     "packing_stats": _PLACED + """, s AS (SELECT max(seq_id) + 1 AS q, sum(n) AS used, count(*) FILTER (WHERE truncated) AS cut FROM fold)
