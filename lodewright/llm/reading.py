@@ -27,7 +27,7 @@ from lodewright.llm.common import reliable, spread
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"(?:[.!?]+[\"')\]_*]*(?=\s|$|<)|\n\s*\n|[。！？])")
-FRACTIONS = (0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15)
+FRACTIONS = (0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.085, 0.1, 0.15)
 MAX_LABELLED = 50_000  # rated texts the formula is fitted to, the first by hash of the id
 _FLUSH = 200_000
 
@@ -101,11 +101,34 @@ def _design(u: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(u)), u, np.log(s)])
 
 
+def _logistic(z: np.ndarray, hard: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    w = np.zeros(z.shape[1])
+    ridge = np.array([0.0, 1e-2, 1e-2])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9)
+        w = np.clip(w + np.linalg.solve(h, z.T @ (weight * (hard - p)) - ridge * w), -200, 200)
+    return w
+
+
+def _cut(score: np.ndarray, hard: np.ndarray) -> tuple[float, int]:
+    """Cut of the score with the fewest wrong ratings (the middle of its gap), and their number."""
+    order = np.argsort(score, kind="stable")
+    s, h = score[order], hard[order]
+    # Wrong if the first i are called easy: the hard ones among them and the easy ones behind.
+    wrong = np.append(0, np.cumsum(h)) + (len(h) - h.sum()) - np.append(0, np.cumsum(1 - h))
+    wrong[1:-1][s[1:] == s[:-1]] = len(h) + 1
+    i = int(wrong.argmin())
+    return float((s[max(0, i - 1)] + s[min(len(s) - 1, i)]) / 2), int(wrong[i])
+
+
 def fit(rated: list[tuple[list[float], float, float]]) -> dict | None:
     """Formula from (unfamiliar shares, sentence length, mean rating): the fraction and weights.
 
-    ``hard`` are the weights of a logistic formula for level 4 and above, ``level`` those of a linear
-    one for the level; the fraction is the one whose logistic formula has the least loss.
+    ``hard`` are the weights of a logistic formula for level 4 and above, ``level`` those of a linear one
+    for the level. Ratings that flatly contradict a first fit are raters' errors and get no weight in the second;
+    the cut is then the one with the fewest wrong ratings. The fraction is the one with the fewest, then the
+    least loss.
     """
     if not rated:
         return None
@@ -120,18 +143,17 @@ def fit(rated: list[tuple[list[float], float, float]]) -> dict | None:
         scale = np.maximum(x.std(0), 1e-9)
         scale[0] = 1.0
         z = x / scale
-        w = np.zeros(x.shape[1])
-        ridge = np.array([0.0, 1e-2, 1e-2])
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9)
-            w = w + np.linalg.solve(h, z.T @ (hard - p) - ridge * w)
-            w = np.clip(w, -200, 200)
-        p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-6, 1 - 1e-6)
+        weight = np.ones(len(z))
+        for _ in range(3):
+            w = _logistic(z, hard, weight)
+            p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-6, 1 - 1e-6)
+            weight = (np.abs(hard - p) < 0.9).astype(float)
+        cut, wrong = _cut(z @ w, hard)
+        w[0] -= cut
         loss = -np.mean(hard * np.log(p) + (1 - hard) * np.log(1 - p))
-        if best is None or loss < best["loss"]:
+        if best is None or (wrong, loss) < (best["wrong"], best["loss"]):
             level = np.linalg.lstsq(x, y, rcond=None)[0]
-            best = {"k": k, "loss": float(loss), "hard": (w / scale).tolist(), "level": level.tolist()}
+            best = {"k": k, "wrong": wrong, "loss": float(loss), "hard": (w / scale).tolist(), "level": level.tolist()}
     return best
 
 
