@@ -4,7 +4,8 @@ Texts longer than the capacity are cut into full pieces, each a full container,
 texts and the rests are items. Items are dealt by hash into blocks of a bounded number of tokens
 and items; within a block multiway largest differencing merges partial partitions, putting the
 largest sums of one beside the smallest of the other, so the sums come out near equal. A block starts
-with the fewest containers its tokens allow and gets one more whenever a sum exceeds the capacity.
+with a lower bound on its containers; full ones are closed, the others differenced anew, and the number
+rises while sums exceed the capacity.
 
 The waste is that of the last fraction of a container a block, so it shrinks as blocks grow.
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from itertools import count
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +28,7 @@ from lodewright.llm.common import reliable
 
 CONTAINERS_A_BLOCK = 192
 ITEMS_A_BLOCK = 20_000
+SLACK, MAX_SLACK = 0.02, 0.12
 _BLOCK_BITS = 20  # container id = block << 20 | number in block
 
 
@@ -37,26 +40,21 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     if k == 1:
         return [list(range(len(sizes)))]
     tie = count()
-    heap = [(-s, next(tie), [(s, i)], 0) for i, s in enumerate(sizes)]
+    heap = [(-s, next(tie), [(s, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a, empty_a = heapq.heappop(heap)
-        _, _, b, empty_b = heapq.heappop(heap)
-        # b reversed lies against a's smallest; bins that are empty on one side just move over.
-        over = len(a) + len(b) - k
-        if over <= 0:
-            merged = a + b
-        else:
-            # a's smallest ``over`` bins meet b's smallest ``over`` bins: least with most.
-            head = len(a) - over
-            merged = a[:head] + b[: len(b) - over]
-            tail_a, tail_b = a[head:], b[len(b) - over :]
-            merged += [(x[0] + y[0], (x[1], y[1])) for x, y in zip(tail_a, reversed(tail_b))]
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        # b turned round lies against a: bins that meet an empty one just move over, of the others the
+        # smallest of a's lot meets the largest of b's.
+        over = max(0, len(a) + len(b) - k)
+        merged = a[: len(a) - over] + b[: len(b) - over]
+        if over:
+            merged += [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a[len(a) - over :], reversed(b[len(b) - over :]))]
         merged.sort(key=lambda x: -x[0])
         if len(merged) == k and (low := merged[-1][0]):
             merged = [(s - low, n) for s, n in merged]
-        spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
-        heapq.heappush(heap, (-spread, next(tie), merged, 0))
+        heapq.heappush(heap, (-merged[0][0], next(tie), merged))
     bins = []
     for _, node in heap[0][2]:
         items, stack = [], [node]
@@ -70,18 +68,46 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """Lower bound on containers: items of more than half the capacity share none, and what fits beside them is bounded (for every size below half)."""
+    s = sorted(sizes)
+    upto = list(accumulate(s, initial=0))
+    half = bisect_right(s, capacity // 2)
+    best = math.ceil(upto[-1] / capacity)
+    for a in {0, *s[:half]}:
+        low, high = bisect_left(s, a), max(half, bisect_right(s, capacity - a))
+        room = (high - half) * capacity - (upto[high] - upto[half])
+        best = max(best, len(s) - half + max(0, math.ceil((upto[half] - upto[low] - room) / capacity)))
+    return best
+
+
 def fill(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers, none above ``capacity``; as few as differencing finds."""
-    if not sizes:
-        return []
-    k = max(1, math.ceil(sum(sizes) / capacity))
-    while True:
-        if k >= len(sizes):
-            return [[i] for i in range(len(sizes))]
-        bins = differencing(sizes, k)
-        if max(sum(sizes[i] for i in b) for b in bins) <= capacity:
-            return bins
-        k += 1
+    """Bins of item numbers, none above ``capacity``.
+
+    Differencing starts from a lower bound on the bins. Bins that come out full to within the slack are closed,
+    the items of the others, too full or too empty, are differenced anew; where too few bins close, first the
+    slack grows, then the number of bins.
+    """
+    left, bins, slack, more = list(range(len(sizes))), [], SLACK, 0
+    while left:
+        now = [sizes[i] for i in left]
+        k = least_bins(now, capacity) + more
+        if k >= len(left):
+            return bins + [[i] for i in left]
+        parts = [[left[j] for j in p] for p in differencing(now, k)]
+        sums = [sum(sizes[i] for i in p) for p in parts]
+        if max(sums) <= capacity:
+            return bins + parts
+        closed = [(1 - slack) * capacity <= s <= capacity for s in sums]
+        if sum(closed) >= 0.1 * len(parts):
+            bins += [p for p, c in zip(parts, closed) if c]
+            left = [i for p, c in zip(parts, closed) if not c for i in p]
+            more = 0
+        elif slack < MAX_SLACK:
+            slack *= 1.5
+        else:
+            more += max(1, k // 40)
+    return bins
 
 
 def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
