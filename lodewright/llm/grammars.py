@@ -243,7 +243,7 @@ arith : unary {binop unary}
 binop : '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '&' | '|' | '^' | '<<' | '>>'
 unary : ('+' | '-' | '~') unary | ['await'] primary
 primary : atom | primary '.' ID | primary '(' [args] ')' | primary '[' slices ']'
-atom : ID | NUM | STR {STR} | '...' | 'None' | 'True' | 'False' | '(' ')' | '(' yield ')' | '(' exprs ')' | '(' sexpr comps ')' | '[' [exprs] ']' | '[' sexpr comps ']' | '{' [dict] '}' | '{' exprs '}' | '{' (kv | sexpr) comps '}'
+atom : ID | NUM | STR {STR} | BYTES {BYTES} | '...' | 'None' | 'True' | 'False' | '(' ')' | '(' yield ')' | '(' exprs ')' | '(' sexpr comps ')' | '[' [exprs] ']' | '[' sexpr comps ']' | '{' [dict] '}' | '{' exprs '}' | '{' (kv | sexpr) comps '}'
 dict : ditem {',' ditem} [',']
 ditem : kv | '**' arith
 kv : expr ':' expr
@@ -254,8 +254,9 @@ condx : orx | ID ':=' orx | 'lambda' [lparams] ':' condx
 args : pargs [',' kargs] [','] | kargs [','] | named comps [',']
 pargs : parg {',' parg}
 parg : named | '*' expr
-kargs : karg {',' (karg | '*' expr)}
-karg : ID '=' expr | '**' expr
+kargs : kstar {',' kstar} [',' kmap {',' kmap}] | kmap {',' kmap}
+kstar : ID '=' expr | '*' expr
+kmap : ID '=' expr | '**' expr
 slices : slice {',' slice} [',']
 slice : [expr] ':' [expr] [':' [expr]] | named | '*' arith
 lparams : lpar {',' lpar} [',']
@@ -274,7 +275,7 @@ expression : exprs | yield
 case : patterns ['if' named]
 patterns : orpat {',' orpat} [',']
 orpat : pat {'|' pat} ['as' ID]
-pat : ['-'] NUM [('+' | '-') NUM] | STR {STR} | 'None' | 'True' | 'False' | ['*'] ID | ID '.' ID {'.' ID} | '(' [patterns] ')' | '[' [patterns] ']' | '{' [mpat {',' mpat} [',']] '}' | dotted '(' [cpat {',' cpat} [',']] ')'
+pat : ['-'] NUM [('+' | '-') NUM] | STR {STR} | BYTES {BYTES} | 'None' | 'True' | 'False' | ['*'] ID | ID '.' ID {'.' ID} | '(' [patterns] ')' | '[' [patterns] ']' | '{' [mpat {',' mpat} [',']] '}' | dotted '(' [cpat {',' cpat} [',']] ')'
 mpat : (pat ':' orpat) | '**' ID
 cpat : orpat | ID '=' orpat
 """

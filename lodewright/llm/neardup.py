@@ -207,7 +207,7 @@ def near_duplicates(documents: DataFrame, same: DataFrame, similarity: float = 0
     listed, as the result is defined on documents; the similarity itself is computed once per class.
     """
     pairs, members = similar_classes(documents, similarity)
-    m = members.join(same, "doc_id", "left").select("rep", "doc_id", F.coalesce("first_doc_id", "doc_id").alias("same"))
+    m = members.join(same.select("first_doc_id", "doc_id"), "doc_id", "left").select("rep", "doc_id", F.coalesce("first_doc_id", "doc_id").alias("same"))
     a = m.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"), F.col("same").alias("xs"))
     b = m.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"), F.col("same").alias("ys"))
     out = pairs.join(a, "a").join(b, "b").where("xs <> ys")

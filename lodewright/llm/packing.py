@@ -147,17 +147,18 @@ def pack(sizes: DataFrame, capacities: list[int], *, containers_a_block: int = C
             blocks = F.when(F.col("n_ctx") == c, F.lit(max(1, round(need)))).otherwise(blocks)
     whole = F.col("n_tokens").cast("bigint")
     items = rest.where("rest > 0").select(
-        "n_ctx", "doc_id", F.floor(whole / F.col("n_ctx")).alias("piece"), (whole - F.col("rest")).alias("start"), F.col("rest").alias("n_tokens"),
+        "n_ctx", F.col("doc_id").cast("string").alias("doc_id"), F.floor(whole / F.col("n_ctx")).alias("piece"), (whole - F.col("rest")).alias("start"), F.col("rest").alias("n_tokens"),
         F.pmod(F.xxhash64("doc_id", "n_tokens"), blocks).alias("block"),
     )
     packed = items.groupBy("n_ctx", "block").applyInPandas(
-        _pack_block, "n_ctx int, doc_id bigint, piece bigint, start bigint, n_tokens bigint, container_id bigint, container_used bigint"
+        _pack_block, "n_ctx int, doc_id string, piece bigint, start bigint, n_tokens bigint, container_id bigint, container_used bigint"
     )
+    packed = packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))  # as text within, for null ids
     full = sized.where("n_tokens >= n_ctx").select("n_ctx", "doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(1), F.floor(whole / F.col("n_ctx")))).alias("piece", "_k"))
     full = full.select(
         "n_ctx", "doc_id", F.col("piece").cast("bigint").alias("piece"), (F.col("piece").cast("bigint") * F.col("n_ctx")).alias("start"), F.col("n_ctx").cast("bigint").alias("n_tokens"),
-        # The id of a full piece says whose it is; the same number may recur for repeated rows only.
-        (-(F.abs(F.xxhash64("doc_id", "piece")) % F.lit((1 << 62) - 1)) - 1).alias("container_id"), F.col("n_ctx").cast("bigint").alias("container_used"),
+        # Numbered over checkpointed rows, so the same again if a task is repeated.
+        (-F.monotonically_increasing_id() - 1).alias("container_id"), F.col("n_ctx").cast("bigint").alias("container_used"),
     )
     none = F.lit(None).cast("bigint")
     empty = sized.where("n_tokens = 0").select("n_ctx", "doc_id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start"), "n_tokens", none.alias("container_id"), none.alias("container_used"))

@@ -27,7 +27,7 @@ from lodewright.llm.common import reliable, spread
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"(?:[.!?]+[\"')\]_*]*(?=\s|$|<)|\n\s*\n|[。！？])")
-FRACTIONS = (0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.085, 0.1, 0.15)
+FRACTIONS = (0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.085, 0.1, 0.15, 0.2, 0.3, 0.5)
 MAX_LABELLED = 50_000  # rated texts the formula is fitted to, the first by hash of the id
 _FLUSH = 200_000
 

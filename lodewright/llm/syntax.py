@@ -303,6 +303,8 @@ class _Python:
         if t[-1] in "'\"" and len(t) > 1:
             head = t[: 3 if len(t) > 3 else len(t)].lower()
             q = min(i for i in (t.find("'"), t.find('"')) if i >= 0)
+            if "b" in head[:q]:
+                return self.known["BYTES"] if t.isascii() else -1
             if "f" in head[:q]:
                 w = 3 if t[q : q + 3] in ('"""', "'''") and len(t) >= q + 6 else 1
                 if not self._field(t[q + w : -w]):
