@@ -28,43 +28,58 @@ def exact_dedup(df: DataFrame, key: str = "normalized_hash", order: Column | Non
     return df.join(removed.select("doc_id"), "doc_id", "left_anti").select(*df.columns), removed
 
 
-def near_edges(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def signatures(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """``k, rep, sig``: the signature of each document, and the first document (by source, id) that has the same one."""
+    sigs = checkpoint(df.select(F.struct("source_id", "doc_id").alias("k"), minhash(F.col("text"), t.permutations, t.shingle).alias("sig")))
+    key = (F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2"))
+    # Map-side combined, so a signature that a large share of documents has stays small.
+    first = sigs.select("k", *key).groupBy("h1", "h2").agg(F.min("k").alias("rep"))
+    return checkpoint(sigs.select("k", "sig", *key).join(first, ["h1", "h2"]).select("k", "rep", "sig"))
+
+
+def near_edges(df: DataFrame, t: Thresholds = DEFAULT, sigs: DataFrame | None = None) -> DataFrame:
     """Pairs ``a, b`` (``b`` before ``a`` in order of source and id) of estimated similarity of at least the cutoff.
 
-    ``band`` is the first band they share. Above a cutoff of 1 - (bands - 1) / permutations no pair is
-    missed: fewer positions differ than there are bands.
+    Only documents that are the first of their signature are paired: documents of equal signature have equal
+    neighbours. ``band`` is the first band a pair shares. Above a cutoff of 1 - (bands - 1) / permutations no
+    pair is missed, as then fewer positions differ than there are bands.
     """
-    sigs = checkpoint(df.select(F.struct("source_id", "doc_id").alias("k"), minhash(F.col("text"), t.permutations, t.shingle).alias("sig")))
-    # Equal signatures (copies, templates) meet once, as a star around the first, not pairwise.
-    banded = sigs.select("k", F.posexplode(band_keys(F.col("sig"), t.band_size)).alias("band", "key"))
+    sigs = signatures(df, t) if sigs is None else sigs
+    firsts = sigs.where(F.col("k") == F.col("rep")).select("k", "sig")
+    banded = firsts.select("k", F.posexplode(band_keys(F.col("sig"), t.band_size)).alias("band", "key"))
     left, right = banded.select(F.col("k").alias("a"), "band", "key"), banded.select(F.col("k").alias("b"), "band", "key")
     pairs = left.join(right, ["band", "key"]).where(F.col("b") < F.col("a")).groupBy("a", "b").agg(F.min("band").alias("band"))
-    pairs = pairs.join(sigs.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = pairs.join(firsts.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(firsts.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
     return pairs.withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= t.near_cutoff).select("a", "b", "band", "similarity")
 
 
 def near_dedup(df: DataFrame, t: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Greedy in order of source and id: a row goes if it is similar to an earlier row that stays.
 
-    Solved over the (sparse) edges in rounds: rows whose earlier neighbours have all gone stay, rows with
-    an earlier neighbour that stays go. Rounds are as many as the longest undecided chain.
+    Solved over the (sparse) edges between first documents of a signature, in rounds: rows whose earlier neighbours
+    have all gone stay, rows with an earlier neighbour that stays go. Rounds are as many as the longest
+    undecided chain. Later documents of a signature always go. ``duplicate_of`` is the earlier kept neighbour of
+    the first shared band, then the first in order.
     """
-    edges = checkpoint(near_edges(df, t))
+    sigs = signatures(df, t)
+    edges = checkpoint(near_edges(df, t, sigs))
     open_edges = edges.select("a", "b")
-    gone: DataFrame | None = None
+    gone = sigs.limit(0).select("k")
     while open_edges.take(1):
         # b is settled to stay if it has no open earlier neighbour itself.
         stays = open_edges.select(F.col("b").alias("k")).distinct().join(open_edges.select(F.col("a").alias("k")).distinct(), "k", "left_anti")
         out = checkpoint(open_edges.join(stays.withColumnRenamed("k", "b"), "b", "left_semi").select(F.col("a").alias("k")).distinct())
-        gone = out if gone is None else gone.unionByName(out)
+        gone = gone.unionByName(out)
         rest = open_edges.join(out.withColumnRenamed("k", "a"), "a", "left_anti").join(out.withColumnRenamed("k", "b"), "b", "left_anti")
         open_edges = checkpoint(rest)
-    if gone is None:
-        return df, df.limit(0).select("doc_id", "source_id", F.lit("near_dedup").alias("stage"), F.array(F.lit("near_duplicate")).alias("reason_codes"), F.col("doc_id").alias("duplicate_of"))
     gone = checkpoint(gone)
-    keeper = edges.join(gone.withColumnRenamed("k", "a"), "a", "left_semi").join(gone.withColumnRenamed("k", "b"), "b", "left_anti")
-    named = keeper.groupBy("a").agg(F.min_by("b", F.struct("band", "b")).alias("b"))
-    removed = named.select(F.col("a.doc_id").alias("doc_id"), F.col("a.source_id").alias("source_id"), F.lit("near_dedup").alias("stage"), F.array(F.lit("near_duplicate")).alias("reason_codes"), F.col("b.doc_id").alias("duplicate_of"))
+    # Kept neighbours of a signature, in either direction, and its own first document if that stays.
+    near = edges.select(F.col("a").alias("rep"), F.col("b").alias("other"), "band").union(edges.select("b", "a", "band"))
+    own = sigs.where(F.col("k") == F.col("rep")).select("rep", F.col("rep").alias("other"), F.lit(0).alias("band"))
+    near = near.unionByName(own).join(gone.withColumnRenamed("k", "other"), "other", "left_anti")
+    lost = sigs.where(F.col("k") != F.col("rep")).select("k", "rep").unionByName(gone.select("k", F.col("k").alias("rep")))
+    named = lost.join(near, "rep").where(F.col("other") < F.col("k")).groupBy("k").agg(F.min_by("other", F.struct("band", "other")).alias("b"))
+    removed = named.select(F.col("k.doc_id").alias("doc_id"), F.col("k.source_id").alias("source_id"), F.lit("near_dedup").alias("stage"), F.array(F.lit("near_duplicate")).alias("reason_codes"), F.col("b.doc_id").alias("duplicate_of"))
     return df.join(removed.select("doc_id"), "doc_id", "left_anti").select(*df.columns), removed
 
 

@@ -74,6 +74,7 @@ def test_near_dedup_is_greedy_in_order(spark):
         for _ in range(rng.randint(0, 6)):
             t[rng.randrange(len(t))] = f"new{rng.randint(0, 999)}"
         rows.append((f"d{i:03}", f"s{i % 3}", " ".join(t)))
+    rows += [(f"e{i:03}", "s1", rows[i][2]) for i in range(5)] + [("f000", "s0", ""), ("f001", "s2", "")]
     df = docs(spark, [{"doc_id": d, "source_id": s, "text": t} for d, s, t in rows])
     kept, removed = dedup.near_dedup(df)
     want, gone = greedy(rows, DEFAULT.near_cutoff)
