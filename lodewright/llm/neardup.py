@@ -6,9 +6,10 @@
 3. Candidate pairs share a band of the sketch. (Pivots only discard pairs, they cannot propose them.)
 4. Pivot table: each fingerprint's Hamming distances to reference fingerprints, spread over the
    fingerprints of a bounded sample of documents, travel with the bands. By the triangle inequality a
-   pair whose coordinates differ by more than the radius anywhere is farther apart than the radius and
-   is dropped; so are pairs whose sizes exclude the similarity.
-5. Survivors are verified on the whole texts, exactly.
+   pair whose coordinates differ by more than the radius anywhere is farther apart than the radius; a
+   tighter bound holds but for odds of 1e-5. Pairs beyond it are dropped, as are pairs whose sizes
+   exclude the similarity.
+5. Survivors are held against the radius on the fingerprints, then verified on the whole texts, exactly.
 
 Defined results: texts without a 5-gram (null, empty, fewer than five characters after normalising)
 have no similar text. Repeated rows are copies of one class. Pairs of documents come out once, lower
@@ -47,6 +48,16 @@ def radius(similarity: float) -> int:
     return int(np.ceil(BITS * p + 4 * np.sqrt(BITS * p * (1 - p))))
 
 
+def pivot_bound(similarity: float) -> int:
+    """Bound on the difference of two fingerprints' distances to one pivot.
+
+    Within the radius r the triangle inequality gives r; as the differing bits lie by chance on the pivot's ones and
+    zeros, the difference is a sum of at most r signs, and 4.5 deviations of it bound far more pairs.
+    """
+    r = radius(similarity)
+    return min(r, int(np.ceil(4.5 * np.sqrt(r))))
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
@@ -177,7 +188,7 @@ def similar_classes(documents: DataFrame, similarity: float = 0.7, *, id_col: st
     first = sk.groupBy("k").agg(F.min("doc_id").alias("rep"))
     members = sk.select("k", "doc_id").join(first, "k").select("rep", "doc_id")
     reps = sk.join(first, (sk["k"] == first["k"]) & (sk["doc_id"] == first["rep"]), "left_semi").select("doc_id", "size", "bands", "fp")
-    sample = [bytes(r["fp"]) for r in sk.select("fp").limit(PIVOT_SAMPLE).collect()]
+    sample = [bytes(r["fp"]) for r in sk.orderBy(F.xxhash64("doc_id"), "doc_id").select("fp").limit(PIVOT_SAMPLE).collect()]
     if not sample:
         return documents.sparkSession.createDataFrame([], "a bigint, b bigint, similarity double"), members
     pivots = choose_pivots(sample)
@@ -186,11 +197,17 @@ def similar_classes(documents: DataFrame, similarity: float = 0.7, *, id_col: st
     left = banded.select("band", F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("pivots").alias("pa"))
     right = banded.select("band", F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("pivots").alias("pb"))
     near = (F.col("a") < F.col("b")) & (F.col("sa") >= similarity * F.col("sb")) & (F.col("sb") >= similarity * F.col("sa"))
-    r = radius(similarity)
+    r = pivot_bound(similarity)
     for j in range(len(pivots)):
         x, y = (F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(255)) for c in ("pa", "pb"))
         near = near & (F.abs(x - y) <= r)
-    pairs = reliable(left.join(right, "band").where(near).select("a", "b").distinct())
+    pairs = left.join(right, "band").where(near).select("a", "b").distinct()
+    # Survivors are held against the radius on the fingerprints themselves before any text is fetched.
+    words = [F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(BITS // 64)]
+    prints = reps.select("doc_id", F.array(*words).alias("w"))
+    pairs = pairs.join(prints.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(prints.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
+    apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(BITS // 64)), F.lit(0))
+    pairs = reliable(pairs.where(apart <= radius(similarity)).select("a", "b"))
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     need = reliable(need)
     # Ids of the documents to verify: sent to all executors while they are few, else joined.
