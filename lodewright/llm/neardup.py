@@ -6,9 +6,9 @@
 3. Candidate pairs share a band of the sketch. (Pivots only discard pairs, they cannot propose them.)
 4. Pivot table: each fingerprint's Hamming distances to reference fingerprints, spread over the
    fingerprints of a bounded sample of documents, travel with the bands. By the triangle inequality a
-   pair whose coordinates differ by more than the radius anywhere is farther apart than the radius; a
-   tighter bound holds but for odds of 1e-5. Pairs beyond it are dropped, as are pairs whose sizes
-   exclude the similarity.
+   pair whose coordinates differ by more than the radius anywhere is farther apart than the radius and
+   is dropped; so are pairs whose sizes exclude the similarity. (No tighter bound is safe: where a pivot
+   is near one of the pair, the difference is the whole distance.)
 5. Survivors are held against the radius on the fingerprints, then verified on the whole texts, exactly.
 
 Defined results: texts without a 5-gram (null, empty, fewer than five characters after normalising)
@@ -48,16 +48,6 @@ def radius(similarity: float) -> int:
     return int(np.ceil(BITS * p + 4 * np.sqrt(BITS * p * (1 - p))))
 
 
-def pivot_bound(similarity: float) -> int:
-    """Bound on the difference of two fingerprints' distances to one pivot.
-
-    Within the radius r the triangle inequality gives r; as the differing bits lie by chance on the pivot's ones and
-    zeros, the difference is a sum of at most r signs, and 4.5 deviations of it bound far more pairs.
-    """
-    r = radius(similarity)
-    return min(r, int(np.ceil(4.5 * np.sqrt(r))))
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
@@ -197,7 +187,7 @@ def similar_classes(documents: DataFrame, similarity: float = 0.7, *, id_col: st
     left = banded.select("band", F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("pivots").alias("pa"))
     right = banded.select("band", F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("pivots").alias("pb"))
     near = (F.col("a") < F.col("b")) & (F.col("sa") >= similarity * F.col("sb")) & (F.col("sb") >= similarity * F.col("sa"))
-    r = pivot_bound(similarity)
+    r = radius(similarity)
     for j in range(len(pivots)):
         x, y = (F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(255)) for c in ("pa", "pb"))
         near = near & (F.abs(x - y) <= r)
