@@ -172,3 +172,13 @@ def validate(seq: DataFrame, vocab_size: int = 32_768) -> DataFrame:
 def weighted_loss(batches: DataFrame, loss: str = "loss", tokens: str = "non_pad_tokens") -> DataFrame:
     """Mean loss weighted by the tokens that are no padding; null without any."""
     return batches.agg((F.sum(F.col(loss) * F.col(tokens)) / F.nullif(F.sum(tokens), F.lit(0))).alias("mean_loss"), F.sum(tokens).alias("n_tokens"))
+
+
+def make_batch(seq: DataFrame, batch_size: int, vocab_size: int = 32_768) -> list[list[int]]:
+    """The first ``batch_size`` sequences, repeated from the start if there are fewer; ids must be in range."""
+    rows = [list(r["token_ids"]) for r in seq.orderBy("seq_id").limit(batch_size).collect()]
+    if not rows:
+        raise ValueError("there is no sequence")
+    if any(not 0 <= i < vocab_size for ids in rows for i in ids):
+        raise ValueError("a token id is out of range")
+    return [rows[k % len(rows)] for k in range(batch_size)]
