@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,14 +59,22 @@ def minhash_values(text: str, permutations: int, n: int) -> np.ndarray:
     grams = shingles(text, n)
     if not grams:
         return np.zeros(permutations, np.uint64)
-    base = np.array([int.from_bytes(hashlib.sha256(g.encode()).digest()[:8], "little") for g in grams], np.uint64)
+    base = np.frombuffer(b"".join(map(_gram_digest, grams)), np.uint64)
     add, mul = _family(permutations)
     out = np.full(permutations, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in range(0, len(base), 4096):  # bounded memory for very long texts
-        np.minimum(out, (base[i : i + 4096, None] * mul + add).min(axis=0), out=out)
+    for i in range(0, len(base), 1024):  # blocks that stay in the processor's cache, however long the text
+        block = base[i : i + 1024, None] * mul
+        block += add
+        np.minimum(out, block.min(axis=0), out=out)
     return out
 
 
+@lru_cache(maxsize=500_000)
+def _gram_digest(gram: str) -> bytes:
+    """First eight bytes of the gram's sha256; the same grams recur in most texts."""
+    return hashlib.sha256(gram.encode("utf-8", "surrogatepass")).digest()[:8]
+
+
 def minhash(text: Column, permutations: int = 128, n: int = 5) -> Column:
     """Signature as ``array<bigint>`` (bit patterns of unsigned values)."""
 

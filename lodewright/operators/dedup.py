@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodewright.config import CONTEST_SOURCE, DEFAULT, Thresholds
 from lodewright.functions.hashing import band_keys, estimated_jaccard, minhash
-from lodewright.operators.base import checkpoint
+from lodewright.operators.base import checkpoint, spread
 
 
 def exact_dedup(df: DataFrame, key: str = "normalized_hash", order: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def exact_dedup(df: DataFrame, key: str = "normalized_hash", order: Column | Non
 
 def signatures(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """``k, rep, sig``: the signature of each document, and the first document (by source, id) that has the same one."""
-    sigs = checkpoint(df.select(F.struct("source_id", "doc_id").alias("k"), minhash(F.col("text"), t.permutations, t.shingle).alias("sig")))
+    sigs = checkpoint(spread(df.select("source_id", "doc_id", "text")).select(F.struct("source_id", "doc_id").alias("k"), minhash(F.col("text"), t.permutations, t.shingle).alias("sig")))
     key = (F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2"))
     # Map-side combined, so a signature that a large share of documents has stays small.
     first = sigs.select("k", *key).groupBy("h1", "h2").agg(F.min("k").alias("rep"))

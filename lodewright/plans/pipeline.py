@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodewright.config import DEFAULT, Thresholds
 from lodewright.operators import contamination, dedup, ingest, metrics, mixture, packing, quality
-from lodewright.operators.base import checkpoint
+from lodewright.operators.base import checkpoint, spread
 from lodewright.tokenizer.model import Vocabulary, count_column, encode_column
 
 STAGES = ("ingest", "problem_cap", "exact_dedup", "near_dedup", "quality", "contamination", "highsignal")
@@ -65,7 +65,7 @@ def run(docs: DataFrame, refs: DataFrame, vocabulary: Vocabulary | None = None,
     kept, gone = dedup.exact_dedup(ordered)
     now = stage("exact_dedup", now.join(kept.select("doc_id"), "doc_id", "left_semi").select(*now.columns), gone)
     now = stage("near_dedup", *dedup.near_dedup(now, t))
-    now = checkpoint(quality.with_syntax(now))
+    now = checkpoint(quality.with_syntax(spread(now)))
     now = stage("quality", *quality.apply_quality(now, t))
     kept, hits = contamination.scan(now, refs, t)
     hits = checkpoint(hits)

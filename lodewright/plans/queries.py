@@ -125,12 +125,12 @@ def minhash_signatures(spark: SparkSession, sf: str) -> DataFrame:
 
 def near_edges(spark: SparkSession, sf: str) -> DataFrame:
     kept, _ = dedup.exact_dedup(documents(spark, sf))
-    return dedup.near_edges(spread(kept)).select(F.col("a.doc_id").alias("later"), F.col("b.doc_id").alias("earlier"), "band", "similarity")
+    return dedup.near_edges(kept).select(F.col("a.doc_id").alias("later"), F.col("b.doc_id").alias("earlier"), "band", "similarity")
 
 
 def near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept, _ = dedup.exact_dedup(documents(spark, sf))
-    return dedup.near_dedup(spread(kept))[1].select("doc_id", "duplicate_of")
+    return dedup.near_dedup(kept)[1].select("doc_id", "duplicate_of")
 
 
 def problem_cap(spark: SparkSession, sf: str) -> DataFrame:
