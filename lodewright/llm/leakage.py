@@ -3,8 +3,9 @@
 1. Items are cut into shingles of four words. One pass over all records counts the records that hold
    each shingle of an item (only shingles of items are counted, each partition adds up its own).
 2. Per item the shingles are ordered by rarity. A leak of OVERLAP item shingles must hold one of the
-   item's n - OVERLAP + 1 rarest, so a second pass looks only for these prefixes; shingles above the
-   frequency bound are boilerplate and never evidence.
+   item's n - OVERLAP + 1 rarest, so a second pass looks only for these prefixes. Boilerplate, never
+   evidence, is a shingle of many different item texts that also is in many records: an item that
+   leaks into however many records makes none of its own shingles boilerplate.
 3. Length and position bounds: the prefix hits of a record and an item must leave room for OVERLAP
    shingles inside a window of the item's size (with the slack of inserted text).
 4. Candidates are verified exactly, on whole texts: maximal runs of equal words are chained in the
@@ -20,6 +21,7 @@ Rows of null ids come out with that null id.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,7 +36,8 @@ SHINGLE = 4
 LEAST_WORDS = 20
 OVERLAP = 10  # rare shingles that any leak of LEAST_WORDS words keeps, single changed words allowed for
 REACH = 6  # item lengths that may lie between two passages
-RARE = 0.002  # a shingle in more than this part of all records is boilerplate
+RARE = 0.002  # boilerplate is in more than this part of all records
+SHARED = 8  # and in more than so many different item texts
 BLOCK_WORDS = 30_000  # distinct words of the items of one pass: four of them fit 60 bits
 _BITS = 15
 
@@ -42,7 +45,7 @@ _BITS = 15
 class ItemBlock:
     """Shingle index of some items; small and bounded, it is sent to the workers as it is."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
+    def __init__(self, items: list[tuple[int, list[str]]], texts_of: Counter[tuple[str, ...]]) -> None:
         self.ids = [i for i, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for _, ws in items]
@@ -55,11 +58,12 @@ class ItemBlock:
         self.codes, start = np.unique(codes[order], return_index=True)
         self.item, self.pos = item[order], pos[order]
         self.start = np.append(start, len(order))
+        self.shared = np.array([texts_of[tuple(items[k][1][p : p + SHINGLE])] > SHARED for k, p in zip(self.item[start], self.pos[start])], bool)
 
     def prefixes(self, counts: np.ndarray, n_records: int) -> None:
         """Mark, per posting, whether it is evidence (rare) and whether it is in the item's prefix."""
         n = counts[np.repeat(np.arange(len(self.codes)), np.diff(self.start))]
-        self.rare = n <= max(RARE * n_records, 3 * OVERLAP)
+        self.rare = ~np.repeat(self.shared, np.diff(self.start)) | (n <= RARE * n_records)
         self.prefix = np.zeros(len(n), bool)
         for k in range(len(self.ids)):
             mine = np.flatnonzero((self.item == k) & self.rare)
@@ -231,17 +235,16 @@ def _match(block: ItemBlock):
 
 
 def item_blocks(items: list[tuple[int, str]]) -> list[ItemBlock]:
+    words = [(i, ws) for i, text in items if len(ws := WORD.findall(text.lower())) >= LEAST_WORDS]
+    texts_of = Counter(g for ws in {tuple(ws) for _, ws in words} for g in {ws[k : k + SHINGLE] for k in range(len(ws) - SHINGLE + 1)})
     blocks, now, seen = [], [], set()
-    for i, text in items:
-        ws = WORD.findall(text.lower())
-        if len(ws) < LEAST_WORDS:
-            continue
+    for i, ws in words:
         if now and len(seen.union(ws)) > BLOCK_WORDS:
-            blocks.append(ItemBlock(now))
+            blocks.append(ItemBlock(now, texts_of))
             now, seen = [], set()
         now.append((i, ws))
         seen.update(ws)
-    return [*blocks, *([ItemBlock(now)] if now else [])]
+    return [*blocks, *([ItemBlock(now, texts_of)] if now else [])]
 
 
 def leaks(records: DataFrame, benchmark: DataFrame, *, item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -56,6 +56,16 @@ def test_blocks_agree_with_one_pass(frame, monkeypatch):
     assert found(frame, rows, items) == whole == {(i, i % 12) for i in range(30)}
 
 
+def test_item_in_a_third_of_the_records(frame):
+    """A leak in very many records is no boilerplate; a phrase of many items in very many records is."""
+    rows = [(i, " ".join(passage(20) + (ITEM[:40] if i % 3 == 0 else []) + passage(20))) for i in range(300)]
+    assert found(frame, rows, [(100, " ".join(ITEM)), (102, " ".join(OTHER))]) == {(i, 100) for i in range(0, 300, 3)}
+    phrase = passage(25)
+    items = [(i, " ".join(passage(20) + phrase + passage(20))) for i in range(12)]
+    rows = [(i, " ".join(passage(20) + phrase + passage(20))) for i in range(100)] + [(200, items[5][1])]
+    assert found(frame, rows, items) == {(200, 5)}
+
+
 def test_empty_tables(frame):
     assert found(frame, [], [(1, " ".join(ITEM))]) == set()
     assert found(frame, [(1, " ".join(ITEM))], []) == set()
