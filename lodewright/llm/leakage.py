@@ -9,7 +9,8 @@
 3. Length and position bounds: the prefix hits of a record and an item must leave room for OVERLAP
    shingles inside a window of the item's size (with the slack of inserted text).
 4. Candidates are verified exactly, on whole texts: maximal runs of equal words are chained in the
-   order of both texts; the chain must hold LEAST_WORDS words and enough evidence.
+   order of both texts; the chain must hold LEAST_WORDS words and enough evidence: PLAIN rare shingles,
+   or OVERLAP where its passages adjoin in the item. Templates share as much only in scattered phrases.
 
 Items are taken in blocks of bounded vocabulary, each block is one pass, so a large benchmark needs
 neither a large broadcast nor a join of everything with everything.
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from lodewright.llm.common import WORD, spread
 
 SHINGLE = 4
 LEAST_WORDS = 20
-OVERLAP = 10  # rare shingles that any leak of LEAST_WORDS words keeps, single changed words allowed for
+OVERLAP = 6  # passages of five words, LEAST_WORDS in all, keep 8 shingles; two of them may be boilerplate
+PLAIN = 10  # rare shingles that tell a leak from a template wherever in the item they are
 REACH = 6  # item lengths that may lie between two passages
 RARE = 0.002  # boilerplate is in more than this part of all records
 SHARED = 8  # and in more than so many different item texts
@@ -172,11 +175,11 @@ def _passages(runs: list[tuple[int, int, int, int]], text: np.ndarray, item: np.
     return out
 
 
-def chain(runs: list[tuple[int, int, int, int, int]], reach: int) -> tuple[int, int]:
+def chain(runs: list[tuple[int, int, int, int, int]], reach: int, gap: float = inf) -> tuple[int, int]:
     """Most words, and the rare shingles among them, of runs in the order of both texts.
 
-    A run follows another within ``reach`` words of the record. Runs that overlap by a few words count
-    only their new words.
+    A run follows another within ``reach`` words of the record and ``gap`` words of the item. Runs that
+    overlap by a few words count only their new words.
     """
     runs = sorted(runs)
     best: list[tuple[int, int]] = []
@@ -185,7 +188,7 @@ def chain(runs: list[tuple[int, int, int, int, int]], reach: int) -> tuple[int,
         for k in range(i):
             pp, qq, nn, _, _ = runs[k]
             over = max(0, pp + nn - p, qq + nn - q)
-            if pp < p <= pp + nn + reach and qq < q and over < m:
+            if pp < p <= pp + nn + reach and qq < q <= qq + nn + gap and over < m:
                 w, e = best[k]
                 top = max(top, (w + m - over, e + r))
         best.append(top)
@@ -223,7 +226,10 @@ def _match(block: ItemBlock):
                 x = key % m
                 text = ws[first_word[key // m] : first_word[key // m + 1]]
                 runs = _passages(_runs(p[a : a + n], q[a : a + n]), text, block.words[x])
-                words, evidence = chain(runs, REACH * len(block.words[x]))
+                reach = REACH * len(block.words[x])
+                words, evidence = chain(runs, reach)
+                if words >= LEAST_WORDS and evidence < PLAIN:
+                    words, evidence = chain(runs, reach, 1)
                 if words >= LEAST_WORDS and evidence >= OVERLAP:
                     rec_id.append(key // m), item_id.append(block.ids[x]), n_words.append(words), n_rare.append(evidence)
             rows = pa.array(rec_id, pa.int64())

@@ -66,6 +66,14 @@ def test_item_in_a_third_of_the_records(frame):
     assert found(frame, rows, items) == {(200, 5)}
 
 
+def test_twenty_words_with_changes(frame):
+    changed = [w if i not in (5, 11, 17) else "other" for i, w in enumerate(ITEM[:23])]
+    parts = [w for k in range(0, 20, 5) for w in [*ITEM[k : k + 5], *passage(7)]]
+    scattered = [w for k in range(0, 60, 15) for w in [*ITEM[k : k + 5], *passage(7)]]  # phrases of a template look like this
+    rows = [(k, " ".join(passage(30) + ws + passage(30))) for k, ws in enumerate((changed, parts, scattered))]
+    assert found(frame, rows, [(100, " ".join(ITEM)), (102, " ".join(OTHER))]) == {(0, 100), (1, 100)}
+
+
 def test_empty_tables(frame):
     assert found(frame, [], [(1, " ".join(ITEM))]) == set()
     assert found(frame, [(1, " ".join(ITEM))], []) == set()
