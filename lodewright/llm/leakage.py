@@ -38,7 +38,8 @@ SHINGLE = 4
 LEAST_WORDS = 20
 OVERLAP = 6  # passages of five words, LEAST_WORDS in all, keep 8 shingles; two of them may be boilerplate
 PLAIN = 10  # rare shingles that tell a leak from a template wherever in the item they are
-REACH = 6  # item lengths that may lie between two passages
+REACH = 6  # item lengths that may lie between two passages,
+FAR = 4  # unless both hold so many rare shingles (seven words): they may lie at any distance
 RARE = 0.002  # boilerplate is in more than this part of all records
 SHARED = 8  # and in more than so many different item texts
 BLOCK_WORDS = 30_000  # distinct words of the items of one pass: four of them fit 60 bits
@@ -175,20 +176,21 @@ def _passages(runs: list[tuple[int, int, int, int]], text: np.ndarray, item: np.
     return out
 
 
-def chain(runs: list[tuple[int, int, int, int, int]], reach: int, gap: float = inf) -> tuple[int, int]:
+def chain(runs: list[tuple[int, int, int, int, int]], reach: int, gap: float = inf, far: float = inf) -> tuple[int, int]:
     """Most words, and the rare shingles among them, of runs in the order of both texts.
 
-    A run follows another within ``reach`` words of the record and ``gap`` words of the item. Runs that
-    overlap by a few words count only their new words.
+    A run follows another within ``reach`` words of the record, at any distance if both have ``far``
+    rare shingles, and within ``gap`` words of the item. Runs that overlap by a few words count only
+    their new words.
     """
     runs = sorted(runs)
     best: list[tuple[int, int]] = []
     for i, (p, q, n, r, m) in enumerate(runs):
         top = (m, r)
         for k in range(i):
-            pp, qq, nn, _, _ = runs[k]
+            pp, qq, nn, rr, _ = runs[k]
             over = max(0, pp + nn - p, qq + nn - q)
-            if pp < p <= pp + nn + reach and qq < q <= qq + nn + gap and over < m:
+            if pp < p and (p <= pp + nn + reach or min(r, rr) >= far) and qq < q <= qq + nn + gap and over < m:
                 w, e = best[k]
                 top = max(top, (w + m - over, e + r))
         best.append(top)
@@ -227,9 +229,9 @@ def _match(block: ItemBlock):
                 text = ws[first_word[key // m] : first_word[key // m + 1]]
                 runs = _passages(_runs(p[a : a + n], q[a : a + n]), text, block.words[x])
                 reach = REACH * len(block.words[x])
-                words, evidence = chain(runs, reach)
+                words, evidence = chain(runs, reach, far=FAR)
                 if words >= LEAST_WORDS and evidence < PLAIN:
-                    words, evidence = chain(runs, reach, 1)
+                    words, evidence = chain(runs, reach, 1, FAR)
                 if words >= LEAST_WORDS and evidence >= OVERLAP:
                     rec_id.append(key // m), item_id.append(block.ids[x]), n_words.append(words), n_rare.append(evidence)
             rows = pa.array(rec_id, pa.int64())

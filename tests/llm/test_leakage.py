@@ -74,6 +74,11 @@ def test_twenty_words_with_changes(frame):
     assert found(frame, rows, [(100, " ".join(ITEM)), (102, " ".join(OTHER))]) == {(0, 100), (1, 100)}
 
 
+def test_passages_far_apart(frame):
+    far = [(1, " ".join(ITEM[5:20] + passage(5_000) + ITEM[30:45])), (2, " ".join(ITEM[30:45] + passage(5_000) + ITEM[5:20]))]
+    assert found(frame, far, [(100, " ".join(ITEM)), (102, " ".join(OTHER))]) == {(1, 100)}
+
+
 def test_empty_tables(frame):
     assert found(frame, [], [(1, " ".join(ITEM))]) == set()
     assert found(frame, [(1, " ".join(ITEM))], []) == set()
