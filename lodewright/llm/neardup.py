@@ -10,6 +10,8 @@
    is dropped; so are pairs whose sizes exclude the similarity. (No tighter bound is safe: where a pivot
    is near one of the pair, the difference is the whole distance.)
 5. Survivors are held against the radius on the fingerprints, then verified on the whole texts, exactly.
+   In texts of fewer grams than cells, cells borrow from each other and bits go together, so the radius
+   would lose pairs: where one of a pair has fewer, neither pivots nor fingerprints are asked.
 
 Defined results: texts without a 5-gram (null, empty, fewer than five characters after normalising)
 have no similar text. Repeated rows are copies of one class. Pairs of documents come out once, lower
@@ -188,16 +190,18 @@ def similar_classes(documents: DataFrame, similarity: float = 0.7, *, id_col: st
     right = banded.select("band", F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("pivots").alias("pb"))
     near = (F.col("a") < F.col("b")) & (F.col("sa") >= similarity * F.col("sb")) & (F.col("sb") >= similarity * F.col("sa"))
     r = radius(similarity)
+    few = F.least("sa", "sb") < CELLS
+    close = F.lit(True)
     for j in range(len(pivots)):
         x, y = (F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(255)) for c in ("pa", "pb"))
-        near = near & (F.abs(x - y) <= r)
-    pairs = left.join(right, "band").where(near).select("a", "b").distinct()
+        close = close & (F.abs(x - y) <= r)
+    pairs = left.join(right, "band").where(near & (few | close)).select("a", "b", few.alias("few")).distinct()
     # Survivors are held against the radius on the fingerprints themselves before any text is fetched.
     words = [F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(BITS // 64)]
     prints = reps.select("doc_id", F.array(*words).alias("w"))
     pairs = pairs.join(prints.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(prints.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
     apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(BITS // 64)), F.lit(0))
-    pairs = reliable(pairs.where(apart <= radius(similarity)).select("a", "b"))
+    pairs = reliable(pairs.where(F.col("few") | (apart <= r)).select("a", "b"))
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     need = reliable(need)
     # Ids of the documents to verify: sent to all executors while they are few, else joined.

@@ -45,6 +45,14 @@ def test_pairs_equal_brute_force(frame):
     assert want and got == want
 
 
+def test_short_texts_beyond_the_radius(frame):
+    """Similar texts of few grams whose fingerprints differ in 66 and 70 bits, more than the radius of 62."""
+    rows = [(1, "cgsfycyvpmglkycz"), (2, "fycyvpmglkycz"), (3, "ykcazypdebqpjzifejbs"), (4, "ykcazypdebqpjzifejbskmirfr"), (5, "another text of its own")]
+    df = frame(rows, "doc_id bigint, text string")
+    _, same = formatdup.collapse(df)
+    assert {tuple(r) for r in neardup.near_duplicates(df, same, 0.7).collect()} == {(1, 2), (3, 4)}
+
+
 def test_groups_give_one_row_per_document(frame):
     rows = corpus()
     got = {r.doc_id: r for r in neardup.groups(frame(rows, "doc_id bigint, text string"), 0.7).collect()}
