@@ -85,8 +85,11 @@ def run(docs: DataFrame, refs: DataFrame, vocabulary: Vocabulary | None = None,
 
 
 def funnel(r: Result) -> DataFrame:
-    """``step, stage, n_in, n_removed, n_kept``: one row per stage."""
+    """``step, stage, n_in, n_removed, n_kept``: one row per stage, and one of packing if tokenised (texts without tokens are not placed)."""
     rows = [(k, s, *r.counts[s], r.counts[s][0] - r.counts[s][1]) for k, s in enumerate(STAGES)]
+    if r.placed is not None:
+        n, kept = r.docs.count(), r.placed.count()
+        rows.append((len(rows), "packing", n, n - kept, kept))
     return r.docs.sparkSession.createDataFrame(rows, "step int, stage string, n_in bigint, n_removed bigint, n_kept bigint")
 
 

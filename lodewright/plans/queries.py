@@ -137,9 +137,13 @@ def problem_cap(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.problem_cap(documents(spark, sf))[1].select("doc_id", "problem_id")
 
 
+def _with_contests(d: DataFrame) -> DataFrame:
+    """The python rows under the contest source, whose rows ingest and the problem cap act on."""
+    return d.withColumn("source_id", F.when(F.col("domain") == "python", "codecontests_plus").otherwise(F.col("source_id")))
+
+
 def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).withColumn("source_id", F.when(F.col("domain") == "python", "codecontests_plus").otherwise(F.col("source_id")))
-    return dedup.contest_order(d).select("doc_id", F.col("ord.c").alias("is_contest"), F.col("ord.p").alias("grouped"), F.col("ord.f").alias("first_ord"), F.col("ord.h").alias("hash"))
+    return dedup.contest_order(_with_contests(documents(spark, sf))).select("doc_id", F.col("ord.c").alias("is_contest"), F.col("ord.p").alias("grouped"), F.col("ord.f").alias("first_ord"), F.col("ord.h").alias("hash"))
 
 
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,7 +301,7 @@ def math_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stage_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.funnel(pipeline.run(spread(documents(spark, sf)), references(spark, sf)))
+    return pipeline.funnel(pipeline.run(spread(_with_contests(documents(spark, sf))), references(spark, sf), frozen_vocabulary()))
 
 
 QUERIES = {

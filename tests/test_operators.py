@@ -214,3 +214,10 @@ def test_metrics_are_safe_for_nothing(spark):
 def test_signatures_wrap_modulo_two_to_64():
     v = minhash_values("overflow " * 5, 128, 5)
     assert v.dtype == np.uint64 and len(v) == 128
+
+
+def test_funnel_query_has_rows_for_every_stage(spark, tiny):
+    from lodewright.plans.queries import QUERIES
+
+    got = {r.stage: r for r in QUERIES["stage_funnel"](spark, tiny).collect()}
+    assert got["ingest"].n_removed > 0 and got["packing"].n_kept > 0
