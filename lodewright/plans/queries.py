@@ -294,6 +294,11 @@ def reason_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.reason_histogram(quality.apply_quality(d)[1])
 
 
+def reason_histogram_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Like ``reason_histogram``, with the syntax test, which SQL does not have."""
+    return metrics.reason_histogram(quality.apply_quality(spread(documents(spark, sf)))[1])
+
+
 def math_gap(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "mixture_summary")
     e = F.col("math_raw_estimate_vs_plan")
@@ -311,6 +316,6 @@ QUERIES = {
         expand_solution_lists, extract_math, make_documents, exact_dedup, exact_dup_removed, minhash_signatures, near_edges, near_dedup, problem_cap, canonical_order, quality_rules, quality_removed, highsignal_rules,
         highsignal_removed, syntax_check, token_ngrams, reference_index, contamination_hits, contamination_report, line_multiset, bpe_pair_counts, bpe_best_pair, tokenize_ids, tokenize_counts, vocabulary_table,
         vocabulary_metrics, synthetic_corpus, packing_assign, packing_stats, packing_shards, holdout_split, packed_sequences, packed_validation, mixture_cap, domain_tokens, domain_deviation, tokens_per_source,
-        subsource_share, share_applicability, blocked_sources, solutions_per_problem, reason_histogram, math_gap, stage_funnel,
+        subsource_share, share_applicability, blocked_sources, solutions_per_problem, reason_histogram, reason_histogram_whole, math_gap, stage_funnel,
     )
 }

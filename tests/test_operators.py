@@ -221,3 +221,10 @@ def test_funnel_query_has_rows_for_every_stage(spark, tiny):
 
     got = {r.stage: r for r in QUERIES["stage_funnel"](spark, tiny).collect()}
     assert got["ingest"].n_removed > 0 and got["packing"].n_kept > 0
+
+
+def test_whole_histogram_counts_syntax(spark, tiny):
+    from lodewright.plans.queries import QUERIES
+
+    part, whole = ({r.code: r.n for r in QUERIES[q](spark, tiny).collect()} for q in ("reason_histogram", "reason_histogram_whole"))
+    assert whole.pop("syntax_invalid") > 0 and whole == part
