@@ -1,19 +1,24 @@
 """Problem 1: evaluation texts in training text, by a prefix-filtered join of word shingles.
 
-1. Items are cut into shingles of four words. One pass over all records counts the records that hold
-   each shingle of an item (only shingles of items are counted, each partition adds up its own).
+1. Items are cut into shingles of three words, the longest run that is left where every fourth word is
+   changed. One pass over all records counts the records that hold each shingle of an item (only
+   shingles of items are counted, each partition adds up its own).
 2. Per item the shingles are ordered by rarity. A leak of OVERLAP item shingles must hold one of the
    item's n - OVERLAP + 1 rarest, so a second pass looks only for these prefixes. Boilerplate, never
    evidence, is a shingle of many different item texts that also is in many records: an item that
    leaks into however many records makes none of its own shingles boilerplate.
-3. Length and position bounds: the prefix hits of a record and an item must leave room for OVERLAP
-   shingles inside a window of the item's size (with the slack of inserted text).
+3. Length bound: a record and an item must share OVERLAP different shingles that are evidence. Position
+   bound: hits fall into windows, cut where no passage may follow the one before (more than REACH item
+   lengths lie between); a window of fewer than FAR hits can only stand alone, which takes OVERLAP hits.
 4. Candidates are verified exactly, on whole texts: maximal runs of equal words are chained in the
    order of both texts; the chain must hold LEAST_WORDS words and enough evidence: PLAIN rare shingles,
    or OVERLAP where its passages adjoin in the item. Templates share as much only in scattered phrases.
 
-Items are taken in blocks of bounded vocabulary, each block is one pass, so a large benchmark needs
-neither a large broadcast nor a join of everything with everything.
+Items are taken in blocks of bounded vocabulary and size, each block is one pass, so a large benchmark
+needs neither a large broadcast nor a join of everything with everything. A block holds about ten
+thousand items of a hundred words.
+
+Not found: texts in which no three words in a row are those of the item (every third word changed).
 
 Defined results: null and empty texts leak nothing; items of fewer than LEAST_WORDS words cannot
 leak. An item under two ids gives a case for each. Repeated records give repeated input but one row.
@@ -34,16 +39,17 @@ from pyspark.sql import functions as F
 
 from lodewright.llm.common import WORD, spread
 
-SHINGLE = 4
+SHINGLE = 3
 LEAST_WORDS = 20
-OVERLAP = 6  # passages of five words, LEAST_WORDS in all, keep 8 shingles; two of them may be boilerplate
-PLAIN = 10  # rare shingles that tell a leak from a template wherever in the item they are
+OVERLAP = 6  # LEAST_WORDS in passages of three words keep so many shingles
+PLAIN = 12  # rare shingles that tell a leak from a template wherever in the item they are
 REACH = 6  # item lengths that may lie between two passages,
-FAR = 4  # unless both hold so many rare shingles (seven words): they may lie at any distance
+FAR = 5  # unless both hold so many rare shingles (seven words): they may lie at any distance
 RARE = 0.002  # boilerplate is in more than this part of all records
 SHARED = 8  # and in more than so many different item texts
-BLOCK_WORDS = 30_000  # distinct words of the items of one pass: four of them fit 60 bits
-_BITS = 15
+BLOCK_WORDS = 200_000  # distinct words of the items of one pass: three of them fit 60 bits
+BLOCK_SHINGLES = 1_000_000  # and their shingles, about 50 bytes each
+_BITS = 20
 
 
 class ItemBlock:
@@ -61,6 +67,7 @@ class ItemBlock:
         order = np.lexsort((pos, item, codes))
         self.codes, start = np.unique(codes[order], return_index=True)
         self.item, self.pos = item[order], pos[order]
+        self.sizes = np.array([len(ws) for ws in self.words], np.int64)
         self.start = np.append(start, len(order))
         self.shared = np.array([texts_of[tuple(items[k][1][p : p + SHINGLE])] > SHARED for k, p in zip(self.item[start], self.pos[start])], bool)
 
@@ -69,12 +76,12 @@ class ItemBlock:
         n = counts[np.repeat(np.arange(len(self.codes)), np.diff(self.start))]
         self.rare = ~np.repeat(self.shared, np.diff(self.start)) | (n <= RARE * n_records)
         self.prefix = np.zeros(len(n), bool)
-        for k in range(len(self.ids)):
-            mine = np.flatnonzero((self.item == k) & self.rare)
-            mine = mine[np.argsort(n[mine], kind="stable")]
-            self.prefix[mine[: max(0, len(mine) - OVERLAP + 1)]] = True
-        self.code_prefix = np.array([self.prefix[a:b].any() for a, b in zip(self.start, self.start[1:])], bool)
-        self.code_rare = np.array([self.rare[a:b].any() for a, b in zip(self.start, self.start[1:])], bool)
+        mine = np.flatnonzero(self.rare)
+        mine = mine[np.lexsort((n[mine], self.item[mine]))]  # each item's postings by rarity
+        size = np.bincount(self.item[mine], minlength=len(self.ids))
+        rank = np.arange(len(mine)) - np.repeat(np.cumsum(size) - size, size)
+        self.prefix[mine[rank <= size[self.item[mine]] - OVERLAP]] = True
+        self.code_prefix, self.code_rare = (np.logical_or.reduceat(x, self.start[:-1]) if len(x) else x for x in (self.prefix, self.rare))
 
 
 def shingle_codes(ws: np.ndarray) -> np.ndarray:
@@ -204,6 +211,21 @@ def _postings(start: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width) + start[j][of], of
 
 
+def _within_bounds(pair: np.ndarray, p: np.ndarray, q: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Hits (sorted by pair, then record position) that the length and the position bound leave."""
+    if not len(pair):
+        return np.zeros(0, bool)
+    # Windows of a record: between two of them no passage follows another, unless both are long.
+    window = np.append(0, np.cumsum((np.diff(pair) != 0) | (np.diff(p) > reach[1:] + SHINGLE)))
+    alone = np.bincount(window)[window]
+    keep = alone >= FAR
+    # Shingles of an item that several of its places or the record's share count once.
+    top = int(q.max()) + 1
+    keys = np.unique(pair[keep] * top + q[keep]) // top
+    have, n = np.unique(keys, return_counts=True)
+    return keep & np.isin(pair, have[n >= OVERLAP])
+
+
 def _match(block: ItemBlock):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(block.ids)
@@ -213,18 +235,19 @@ def _match(block: ItemBlock):
             pre = block.code_prefix[j]
             k, of = _postings(block.start, j[pre])
             keys = np.unique((rec[pre][of] * m + block.item[k])[block.prefix[k]])
-            # Length bound: the rare shingles they share.
             near = block.code_rare[j] & np.isin(rec, keys // m)
             rec, at, j = rec[near], at[near], j[near]
             k, of = _postings(block.start, j)
             pair = rec[of] * m + block.item[k]
             rare = block.rare[k] & np.isin(pair, keys)
             pair, p, q = pair[rare], at[of][rare], block.pos[k][rare]
-            order = np.argsort(pair, kind="stable")
+            order = np.lexsort((p, pair))
             pair, p, q = pair[order], p[order], q[order]
+            keep = _within_bounds(pair, p, q, REACH * block.sizes[pair % m])
+            pair, p, q = pair[keep], p[keep], q[keep]
             keys, first, size = np.unique(pair, return_index=True, return_counts=True)
             rec_id, item_id, n_words, n_rare = [], [], [], []
-            for key, a, n in zip(keys[size >= OVERLAP].tolist(), first[size >= OVERLAP].tolist(), size[size >= OVERLAP].tolist()):
+            for key, a, n in zip(keys.tolist(), first.tolist(), size.tolist()):
                 x = key % m
                 text = ws[first_word[key // m] : first_word[key // m + 1]]
                 runs = _passages(_runs(p[a : a + n], q[a : a + n]), text, block.words[x])
@@ -245,13 +268,14 @@ def _match(block: ItemBlock):
 def item_blocks(items: list[tuple[int, str]]) -> list[ItemBlock]:
     words = [(i, ws) for i, text in items if len(ws := WORD.findall(text.lower())) >= LEAST_WORDS]
     texts_of = Counter(g for ws in {tuple(ws) for _, ws in words} for g in {ws[k : k + SHINGLE] for k in range(len(ws) - SHINGLE + 1)})
-    blocks, now, seen = [], [], set()
+    blocks, now, seen, n = [], [], set(), 0
     for i, ws in words:
-        if now and len(seen.union(ws)) > BLOCK_WORDS:
+        if now and (len(seen) + len(ws) > BLOCK_WORDS or n + len(ws) > BLOCK_SHINGLES):
             blocks.append(ItemBlock(now, texts_of))
-            now, seen = [], set()
+            now, seen, n = [], set(), 0
         now.append((i, ws))
         seen.update(ws)
+        n += len(ws)
     return [*blocks, *([ItemBlock(now, texts_of)] if now else [])]
 
 

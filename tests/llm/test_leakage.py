@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lodewright.llm import leakage
 
 R = random.Random(4)
@@ -66,12 +68,39 @@ def test_item_in_a_third_of_the_records(frame):
     assert found(frame, rows, items) == {(200, 5)}
 
 
+def changed_every(ws, k):
+    return [w if (i + 1) % k else "other" for i, w in enumerate(ws)]
+
+
 def test_twenty_words_with_changes(frame):
-    changed = [w if i not in (5, 11, 17) else "other" for i, w in enumerate(ITEM[:23])]
     parts = [w for k in range(0, 20, 5) for w in [*ITEM[k : k + 5], *passage(7)]]
-    scattered = [w for k in range(0, 60, 15) for w in [*ITEM[k : k + 5], *passage(7)]]  # phrases of a template look like this
-    rows = [(k, " ".join(passage(30) + ws + passage(30))) for k, ws in enumerate((changed, parts, scattered))]
-    assert found(frame, rows, [(100, " ".join(ITEM)), (102, " ".join(OTHER))]) == {(0, 100), (1, 100)}
+    scattered = [w for k in range(0, 60, 15) for w in [*ITEM[k : k + 5], *passage(7)]]
+    leaks = [changed_every(ITEM[:23], 6), changed_every(ITEM[:26], 6), changed_every(ITEM[:26], 5), changed_every(ITEM[:28], 4), changed_every(ITEM, 4), parts, scattered]
+    phrases = [w for k in range(0, 60, 9) for w in [*ITEM[k : k + 3], *passage(7)]]  # phrases of a template look like this
+    rows = [(k, " ".join(passage(30) + ws + passage(30))) for k, ws in enumerate([*leaks, phrases, changed_every(ITEM[:24], 6)[:19], changed_every(ITEM, 2)])]
+    assert found(frame, rows, [(100, " ".join(ITEM)), (102, " ".join(OTHER))]) == {(k, 100) for k in range(len(leaks))}
+
+
+@pytest.mark.parametrize("n", [30, 31, 100])
+def test_hot_item_among_many_records(frame, n):
+    rows = [(i, " ".join(passage(20) + (ITEM if i < n else []) + passage(20))) for i in range(2_000)]
+    assert found(frame, rows, [(100, " ".join(ITEM)), (102, " ".join(OTHER))]) == {(i, 100) for i in range(n)}
+
+
+@pytest.mark.parametrize("gap", [361, 400, 1_000])
+def test_two_passages_at_any_distance(frame, gap):
+    rows = [(1, " ".join(passage(30) + ITEM[5:20] + passage(gap) + ITEM[30:45] + passage(30)))]
+    assert found(frame, rows, [(100, " ".join(ITEM))]) == {(1, 100)}
+
+
+def test_bounds_keep_what_can_be_a_case():
+    """Two windows of one item: hits too few for a window go, and pairs with too few different shingles."""
+    arr = leakage.np.array
+    p = arr([*range(6), 5_000, *range(3), *range(6)])
+    q = arr([*range(6), 9, *range(3), *[2] * 6])
+    pair = arr([0] * 7 + [1] * 3 + [2] * 6)
+    keep = leakage._within_bounds(pair, p, q, leakage.np.full(16, 360))
+    assert keep.tolist() == [True] * 6 + [False] * 10
 
 
 def test_passages_far_apart(frame):
