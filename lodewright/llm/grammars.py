@@ -7,60 +7,67 @@ Words in quotes that are not punctuation are reserved in that language.
 JAVA = r"""
 unit : {item}
 compact : {item | member}
-item : 'package' qname ';' | 'import' ['static'] qname ['.' '*'] ';' | {mod} typedecl | ';'
+modular : {imp} {ann} ['open'] 'module' qname '{' {directive} '}'
+directive : ID {ID | '.' | ',' | 'static'} ';'
+item : {ann} 'package' qname ';' | imp | {mod} typedecl | ';'
+imp : 'import' ['static'] qname ['.' '*'] ';'
 qname : ID {'.' ID}
-mod : 'public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | '@' qname ['(' [annargs] ')']
+mod : 'public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | 'sealed' | 'non' '-' 'sealed' | ann
 annargs : annarg {',' annarg}
 annarg : ID '=' annval | annval
-annval : expr | '{' [annval {',' annval} [',']] '}' | '@' qname ['(' [annargs] ')']
+annval : expr | '{' [annval {',' annval} [',']] '}' | ann
 typedecl : 'class' ID [tparams] ['extends' type] ['implements' types] [permits] classbody
  | 'interface' ID [tparams] ['extends' types] [permits] classbody
  | '@' 'interface' ID classbody
  | 'enum' ID ['implements' types] enumbody
- | ID ID [tparams] '(' [params] ')' ['implements' types] classbody
- | ID typedecl
-permits : ID types
+ | 'record' ID [tparams] '(' [params] ')' ['implements' types] recordbody
+permits : 'permits' types
 types : type {',' type}
 tparams : '<' tparam {',' tparam} '>'
-tparam : ID ['extends' type {'&' type}]
+tparam : {ann} ID ['extends' type {'&' type}]
 type : {ann} (prim | ID [targs] {'.' ID [targs]}) {'[' ']'}
 ann : '@' qname ['(' [annargs] ')']
 prim : 'int' | 'long' | 'double' | 'float' | 'boolean' | 'char' | 'byte' | 'short' | 'void'
 targs : '<' [targ {',' targ}] '>'
-targ : type | '?' [('extends' | 'super') type]
+targ : type | {ann} '?' [('extends' | 'super') type]
 classbody : '{' {member} '}'
-enumbody : '{' [econst {',' econst} [',']] [';' {member}] '}'
+recordbody : '{' {member | {mod} ID block} '}'
+enumbody : '{' [econst {',' econst}] [','] [';' {member}] '}'
 econst : {ann} ID ['(' [args] ')'] [classbody]
 member : ';' | ['static'] block | {mod} typedecl | {mod} [tparams] type ID '(' [params] ')' {'[' ']'} ['throws' types] (block | ['default' annval] ';')
- | {mod} [tparams] ID '(' [params] ')' ['throws' types] block | {mod} ID block | {mod} type vars ';'
+ | {mod} [tparams] ID '(' [params] ')' ['throws' types] block | {mod} type vars ';'
 params : param {',' param}
 param : {'final' | ann} type ['...'] (ID | 'this') {'[' ']'}
 vars : var {',' var}
 var : ID {'[' ']'} ['=' init]
 init : expr | '{' [init {',' init} [',']] '}'
 block : '{' {stmt} '}'
-stmt : block | ';' | {'final' | ann} type vars ';' | {'final' | 'abstract' | 'static' | ann} typedecl | expr ';'
+stmt : block | ';' | simple ';' | {'final' | 'abstract' | 'static' | 'strictfp' | 'sealed' | ann} typedecl | 'yield' expr ';'
  | 'if' '(' expr ')' stmt ['else' stmt] | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
  | 'for' '(' [forinit] ';' [expr] ';' [args] ')' stmt | 'for' '(' {'final' | ann} type ID ':' expr ')' stmt
- | 'return' [expr] ';' | 'break' [ID] ';' | 'continue' [ID] ';' | 'throw' expr ';' | 'assert' expr [':' expr] ';' | ID ':' stmt
- | 'switch' '(' expr ')' switchbody | 'synchronized' '(' expr ')' block
+ | ID ':' stmt | 'switch' '(' expr ')' switchbody | 'synchronized' '(' expr ')' block
  | 'try' ['(' res {';' res} [';'] ')'] block {'catch' '(' {'final' | ann} type {'|' type} ID ')' block} ['finally' block]
- | ID expr ';'
-res : {'final'} type ID '=' expr | expr
+simple : {'final' | ann} type vars | effect | 'return' [expr] | 'break' [ID] | 'continue' [ID] | 'throw' expr | 'assert' expr [':' expr]
+effect : ('++' | '--') operand | primary {trailer} does | new
+does : '(' [args] ')' | '++' | '--' | '.' new | assign expr
+assign : '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '>' '>' '>='
+res : {'final' | ann} type ID '=' expr | expr
 forinit : {'final' | ann} type vars | args
 switchbody : '{' {label} '}'
 label : ('case' labels | 'default') (':' {stmt} | '->' (expr ';' | block | 'throw' expr ';'))
 labels : labelx {',' labelx}
-labelx : expr | type ID [ID expr] | 'default'
+labelx : expr | (type ID | pattern) ['when' expr] | 'default'
+pattern : type '(' [sub {',' sub}] ')' [ID]
+sub : {'final' | ann} type ID | pattern | ID
 args : expr {',' expr}
-expr : operand {binop operand} ['?' expr ':' expr] | lambda
+expr : operand {binop operand | 'instanceof' {'final' | ann} (type [ID] | pattern)} ['?' expr ':' expr] | lambda
 lambda : (ID | '(' [lparams] ')') '->' (expr | block)
 lparams : ID {',' ID} | params
-binop : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<' '<' | '>' '>' | '>' '>' '>' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '>' '>' '>='
-operand : ('+' | '-' | '++' | '--' | '!' | '~') operand | '(' type {'&' type} ')' operand | primary {trailer} | operand 'instanceof' ['final'] type [ID] | lambda | 'switch' '(' expr ')' switchbody
+binop : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<' '<' | '>' '>' | '>' '>' '>' | assign
+operand : ('+' | '-' | '++' | '--' | '!' | '~') operand | '(' type {'&' type} ')' operand | primary {trailer} | lambda | 'switch' '(' expr ')' switchbody
 primary : ID | NUM | STR | CHAR | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr ')' | new | type '::' (ID | 'new') | type '.' 'class'
 new : 'new' {ann} ntype ('(' [args] ')' [classbody] | '[' expr ']' {'[' expr ']'} {'[' ']'} | '[' ']' {'[' ']'} '{' [init {',' init} [',']] '}')
-ntype : prim | ID [targs] {'.' ID [targs]}
+ntype : prim | ID [targs] {'.' {ann} ID [targs]}
 trailer : '.' [targs] ID | '.' ('this' | new | 'super') | '(' [args] ')' | '[' expr ']' | '++' | '--' | '::' (ID | 'new')
 """
 
@@ -68,7 +75,7 @@ GO = r"""
 file : 'package' ID ';' {'import' (imp | '(' {imp ';'} [imp] ')') ';'} {top ';'} [top]
 imp : [ID | '.'] STR
 top : 'func' [recv] ID [tparams] sig [block] | decl
-recv : '(' [ID] type ')'
+recv : '(' [ID] type [','] ')'
 decl : 'var' (vspec | '(' {vspec ';'} [vspec] ')') | 'const' (vspec | '(' {vspec ';'} [vspec] ')') | 'type' (tspec | '(' {tspec ';'} [tspec] ')')
 vspec : ids [type] ['=' exprs]
 tspec : ID [tparams] ['='] type
@@ -78,23 +85,27 @@ term : ['~'] type
 ids : ID {',' ID}
 sig : params [result]
 result : type | params
-params : '(' [param {',' param} [',']] ')'
-param : [ID] ['...'] type | ID
+params : '(' [ptype {',' ptype} [',']] ')' | '(' named {',' named} [','] ')'
+ptype : ['...'] type
+named : ids ['...'] type
 type : ID ['.' ID] [targs] | '*' type | '[' ']' type | '[' (expr | '...') ']' type | 'map' '[' type ']' type | 'chan' ['<-'] type | '<-' 'chan' type | 'func' sig | struct | iface | '(' type ')'
-targs : '[' type {',' type} ']'
+targs : '[' type {',' type} [','] ']'
 struct : 'struct' '{' {field ';'} [field] '}'
 field : (ids type | ['*'] ID ['.' ID] [targs]) [STR]
 iface : 'interface' '{' {(ID sig | constraint) ';'} [ID sig | constraint] '}'
 block : '{' stmts '}'
 stmts : {[stmt] ';'} [stmt]
-stmt : decl | simple | block | 'return' [exprs] | 'break' [ID] | 'continue' [ID] | 'goto' ID | 'fallthrough' | 'go' expr | 'defer' expr | ID ':' [stmt] | ifs | fors | switch | select
+stmt : plain | block | ID ':' [stmt] | ifs | fors | switch | select
+plain : decl | simple | 'return' [exprs] | 'break' [ID] | 'continue' [ID] | 'goto' ID | 'fallthrough' | 'go' expr | 'defer' expr
 simple : exprs | exprs asg exprs | expr ('++' | '--') | expr '<-' expr
 asg : '=' | ':=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^='
 ifs : 'if' [[simple] ';'] expr block ['else' (ifs | block)]
 fors : 'for' [expr | [simple] ';' [expr] ';' [simple] | [exprs ('=' | ':=')] 'range' expr] block
-switch : 'switch' [[simple] ';'] [simple] '{' {('case' (exprs | types) | 'default') ':' stmts} '}'
+switch : 'switch' [[simple] ';'] [simple] cases
+cases : '{' {('case' (exprs | types) | 'default') ':' stmts} '}'
 types : type {',' type}
-select : 'select' '{' {('case' simple | 'default') ':' stmts} '}'
+select : 'select' comms
+comms : '{' {('case' simple | 'default') ':' stmts} '}'
 exprs : expr {',' expr}
 expr : unary {binop unary}
 binop : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>>' | '&^' | '&&' | '||' | '==' | '!=' | '<' | '<=' | '>' | '>='
@@ -110,112 +121,173 @@ arg : expr | type
 """
 
 JAVASCRIPT = r"""
-script : {stmt}
-module : {stmt | import | export}
-import : 'import' STR end | 'import' clause ID STR end
-clause : ID [',' (names | '*' ID ID)] | names | '*' ID ID
+script : {outer}
+module : {outer | import | export}
+import : 'import' STR end | 'import' clause 'from' STR end
+clause : ident [',' (names | '*' 'as' ident)] | names | '*' 'as' ident
 names : '{' [spec {',' spec} [',']] '}'
-spec : (key | 'default') [ID (key | 'default')]
-export : 'export' (decl | 'default' (funexp | classexp | expr end) | names [ID STR] end | '*' [ID key] ID STR end)
-end : ';' | NL |
-decl : ('var' | 'let' | 'const') var {',' var} end | function | class
-var : pattern ['=' assign]
-pattern : ID | '[' [elems] ']' | '{' [props] '}'
-function : ['async'] 'function' ['*'] ID '(' [params] ')' body
+spec : (key | STR) ['as' (key | STR)]
+export : 'export' (decl | 'default' (funexp | classexp | assign end) | names ['from' STR] end | '*' ['as' (key | STR)] 'from' STR end)
+end : ';' | NL | '&}'
+decl : binding end | function | class
+binding : ('var' | 'let') var {',' var} | 'const' const {',' const}
+var : ident ['=' assign] | shape '=' assign
+const : (ident | shape) '=' assign
+ident : ID | 'let' | 'async' | 'static' | 'of' | 'get' | 'set' | 'from' | 'as' | 'yield' | 'await'
+shape : '[' [elems] ']' | '{' [props] '}'
+pattern : ident | shape
+function : ['async'] 'function' ['*'] ident '(' [params] ')' body
 body : '{' {stmt} '}'
 params : param {',' param} [',']
 param : ['...'] pattern ['=' assign]
-class : 'class' ID ['extends' operand] classbody
-classbody : '{' {[ 'static' ] member | ';' | NL | 'static' body} '}'
-member : ['async'] ['*'] mkey '(' [params] ')' body | ID mkey '(' [params] ')' body | mkey ['=' assign] end
+class : 'class' ident ['extends' operand] classbody
+classbody : '{' {['static'] member | ';' | NL | 'static' body} '}'
+member : ['async'] ['*'] mkey '(' [params] ')' body | ('get' | 'set') mkey '(' [params] ')' body | mkey ['=' assign] end
 mkey : key | STR | NUM | '[' assign ']' | '#' key
-key : ID | word
-word : 'if' | 'else' | 'for' | 'while' | 'do' | 'return' | 'break' | 'continue' | 'switch' | 'case' | 'default' | 'throw' | 'try' | 'catch' | 'finally' | 'new' | 'delete' | 'typeof' | 'void' | 'in' | 'instanceof' | 'var' | 'let' | 'const' | 'function' | 'class' | 'extends' | 'this' | 'super' | 'null' | 'true' | 'false' | 'import' | 'export' | 'async' | 'await' | 'yield' | 'static' | 'with' | 'debugger'
-stmt : decl | body | ';' | NL | expr end | 'if' '(' expr ')' [NL] stmt ['else' stmt] | 'while' '(' expr ')' [NL] stmt | 'do' stmt [NL] 'while' '(' expr ')' end
- | 'for' ['await'] '(' [forinit] ';' [expr] ';' [expr] ')' [NL] stmt | 'for' ['await'] '(' (('var' | 'let' | 'const') pattern | operand) ('in' | ID) expr ')' [NL] stmt
- | 'return' [expr] end | 'break' [ID] end | 'continue' [ID] end | 'throw' expr end | ID ':' [NL] stmt | 'debugger' end
- | 'switch' '(' expr ')' '{' {[NL] ('case' expr | 'default') ':' {stmt}} '}' | 'try' body (catch [finally] | finally) | 'with' '(' expr ')' stmt
+key : ident | word
+word : 'if' | 'else' | 'for' | 'while' | 'do' | 'return' | 'break' | 'continue' | 'switch' | 'case' | 'default' | 'throw' | 'try' | 'catch' | 'finally' | 'new' | 'delete' | 'typeof' | 'void' | 'in' | 'instanceof' | 'var' | 'const' | 'function' | 'class' | 'extends' | 'this' | 'super' | 'null' | 'true' | 'false' | 'import' | 'export' | 'with' | 'debugger' | 'enum'
+outer : top end | function | class | body | ';' | NL | 'if' '(' expr ')' [NL] outer [[NL] 'else' [NL] outer] | loops | ident ':' [NL] outer
+ | 'try' body (catch [finally] | finally) | 'with' '(' expr ')' [NL] outer
+stmt : local end | function | class | body | ';' | NL | 'if' '(' expr ')' [NL] stmt [[NL] 'else' [NL] stmt] | loops | ident ':' [NL] stmt
+ | 'try' body (catch [finally] | finally) | 'with' '(' expr ')' [NL] stmt
+top : plain | binding
+local : plain | binding | 'break' [ident] | 'continue' [ident]
+plain : start | 'return' [expr] | 'throw' expr | 'debugger'
+start : expr
+loops : 'while' '(' expr ')' [NL] stmt | 'do' [NL] stmt [NL] 'while' '(' expr ')' [';' | NL]
+ | 'for' ['await'] '(' [forinit] ';' [expr] ';' [expr] ')' [NL] stmt | 'for' ['await'] '(' (('var' | 'let' | 'const') pattern | operand) ('in' | 'of') expr ')' [NL] stmt
+ | 'switch' '(' expr ')' cases
+cases : '{' {[NL] ('case' expr | 'default') ':' {stmt}} '}'
 catch : [NL] 'catch' ['(' pattern ')'] body
 finally : [NL] 'finally' body
-forinit : ('var' | 'let' | 'const') var {',' var} | expr
+forinit : binding | expr
 expr : assign {',' assign}
-assign : arrow | 'yield' ['*'] [assign] | operand {binop operand} ['?' assign ':' assign] | operand asg assign
+assign : arrow | 'yield' ['*'] [assign] | operand {binop operand} ['?' assign ':' assign] | place asg assign
 asg : '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
-arrow : ['async'] (ID | '(' [params] ')') '=>' (body | assign)
+arrow : ['async'] (ident | '(' [params] ')') '=>' (body | assign)
 binop : '+' | '-' | '*' | '/' | '%' | '**' | '&' | '|' | '^' | '&&' | '||' | '??' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>>' | '>>>' | 'in' | 'instanceof'
-operand : ('+' | '-' | '++' | '--' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await') operand | primary {trailer}
-primary : ID | NUM | STR | TPL | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | 'async' | 'let' | 'static' | '(' expr ')' | '[' [elems] ']' | '{' [props] '}' | funexp | classexp | 'new' (primary | 'new' primary) {'.' key | '[' expr ']' | TPL} ['(' [args] ')'] | 'new' '.' ID | 'import' ('(' assign ')' | '.' ID) | '#' ID
-funexp : ['async'] 'function' ['*'] [ID] '(' [params] ')' body
-classexp : 'class' [ID] ['extends' operand] classbody
+operand : ('+' | '-' | '++' | '--' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await') operand | place | value {trailer} | '#' ID
+place : root {trailer}
+root : ident | 'this' | 'super' | '(' expr ')' | '[' [elems] ']' | '{' [props] '}' | 'new' '.' ID | 'new' made [args] | 'import' ('(' assign [',' assign] ')' | '.' ID)
+made : (root2 | value | 'new' made args) {'.' (key | '#' key) | '[' expr ']' | TPL}
+root2 : ident | 'this' | 'super' | '(' expr ')' | '[' [elems] ']' | 'new' '.' ID | 'import' '.' ID
+value : NUM | STR | TPL | REGEX | 'null' | 'true' | 'false' | funexp | classexp
+funexp : ['async'] 'function' ['*'] [ident] '(' [params] ')' body
+classexp : 'class' [ident] ['extends' operand] classbody
 elems : [elem] {',' [elem]}
 elem : ['...'] assign
 props : prop {',' prop} [',']
-prop : ['async'] ['*'] mkey '(' [params] ')' body | ID mkey '(' [params] ')' body | mkey ':' assign | ID ['=' assign] | '...' assign | 'async' | 'let' | 'static'
-trailer : '.' (key | '#' key) | '?.' (key | '(' [args] ')' | '[' expr ']') | '(' [args] ')' | '[' expr ']' | '++' | '--' | TPL
-args : arg {',' arg} [',']
+prop : ['async'] ['*'] mkey '(' [params] ')' body | ('get' | 'set') mkey '(' [params] ')' body | mkey ':' assign | ident ['=' assign] | '...' assign
+trailer : '.' (key | '#' key) | '?.' (key | '#' key | args | '[' expr ']' | TPL) | args | '[' expr ']' | '++' | '--' | TPL
+args : '(' [arg {',' arg} [',']] ')'
 arg : ['...'] assign
 """
 
 CPP = r"""
 cpp : {decl}
-c : {decl}
-decl : 'using' 'namespace' qid ';' | 'using' ID '=' typeid ';' | 'using' ['typename'] qid ';' | ['inline'] 'namespace' [qid] '{' {decl} '}' | 'namespace' ID '=' qid ';'
- | 'extern' STR ('{' {decl} '}' | decl) | 'template' '<' [tparam {',' tparam}] '>' decl | 'template' decl | 'static_assert' '(' args ')' ';' | function | simple ';' | ';'
- | ('public' | 'private' | 'protected') ':'
+decl : 'using' 'namespace' qid ';' | 'using' ID {attr} '=' typeid ';' | 'using' using {',' using} ';' | 'using' 'enum' qid ';' | ['inline'] 'namespace' {attr} [qid] space | 'namespace' ID '=' qid ';'
+ | 'extern' STR (space | decl) | 'template' '<' [tparam {',' tparam}] '>' [needs] (decl | 'concept' ID '=' expr ';') | 'extern' 'template' decl | 'template' decl
+ | 'static_assert' '(' args ')' ';' | function | simple ';' | ';'
+using : ['typename'] qid ['...']
+space : '{' {decl} '}'
 attr : '[' '[' {anytok} ']' ']' | 'alignas' '(' args ')'
-anytok : ID | STR | NUM | '(' {anytok} ')' | ',' | '::'
-tparam : ('typename' | 'class') ['...'] [ID] ['=' typeid] | 'template' '<' [tparam {',' tparam}] '>' 'class' [ID] | param | qid [ID]
-function : {attr | fspec} [type] declarator [ctorinit] (body | 'try' body {'catch' '(' (param | '...') ')' body})
- | {attr | fspec} [type] declarator '=' ('default' | 'delete') ';'
-fspec : 'inline' | 'static' | 'virtual' | 'explicit' | 'constexpr' | 'friend' | 'extern' | 'consteval'
+anytok : ID | STR | NUM | '(' {anytok} ')' | ',' | '::' | ':' | 'using'
+needs : 'requires' need {('&&' | '||') need}
+need : '(' expr ')' | requires | qid | 'true' | 'false'
+requires : 'requires' ['(' [params] ')'] '{' {req} '}'
+req : expr ';' | 'typename' qid ';' | '{' expr '}' ['noexcept'] ['->' typeid] ';' | 'requires' expr ';'
+tparam : ('typename' | 'class') ['...'] [ID] ['=' typeid] | 'template' '<' [tparam {',' tparam}] '>' ('class' | 'typename') ['...'] [ID] ['=' qid] | param | qid ['...'] [ID] ['=' typeid]
+function : {attr | fspec} [type] header [ctorinit] (body | 'try' body catch {catch}) | {attr | fspec} [type] header '=' ('default' | 'delete') ';'
+header : {ptr} (qid | '(' declarator ')') called {suffix} [needs]
+fspec : 'inline' | 'static' | 'virtual' | 'explicit' ['(' expr ')'] | 'constexpr' | 'friend' | 'extern' | 'consteval' | 'constinit'
 ctorinit : ':' cinit {',' cinit}
 cinit : qid ('(' [args] ')' | braces) ['...']
-simple : {attr | fspec} type [idecl {',' idecl}] | 'typedef' type declarator {',' declarator} | {fspec} declarator
+simple : {attr | fspec} type idecl {',' idecl} | {attr | fspec | qual} (class | enum) | 'typedef' type declarator {',' declarator} | {attr | fspec} header
+local : {attr | fspec} type idecl {',' idecl} | {attr | fspec | qual} (class | enum) | 'typedef' type declarator {',' declarator} | expr | 'return' [init] | 'break' | 'continue' | 'goto' ID
+ | 'using' 'namespace' qid | 'using' ID '=' typeid | 'using' using | 'using' 'enum' qid | 'static_assert' '(' args ')' | 'co_return' [init] | 'co_yield' init | 'namespace' ID '=' qid
 idecl : declarator [':' expr] ['=' init | braces | '(' args ')']
 init : expr | braces
 braces : '{' [binit {',' binit} [',']] '}'
-binit : ['.' ID '='] init ['...'] | '[' expr ']' '=' init
+binit : '.' ID ('=' init | braces) | init ['...'] | '[' expr ']' '=' init
 type : {qual} core {qual}
-qual : 'const' | 'volatile' | 'mutable' | 'register' | 'static' | 'constexpr' | 'thread_local' | 'inline' | 'extern' | 'unsigned' | 'signed' | 'long' | 'short'
-core : base {base} | {quals} ['typename'] qid | 'auto' | 'decltype' '(' expr ')' | class | enum | quals {quals}
-quals : 'unsigned' | 'signed' | 'long' | 'short'
-base : 'int' | 'char' | 'bool' | 'double' | 'float' | 'void' | 'unsigned' | 'signed' | 'long' | 'short' | 'wchar_t' | 'char16_t' | 'char32_t' | 'size_t'
-class : ('class' | 'struct' | 'union') {attr} [qid] ['final'] [':' basecls {',' basecls}] '{' {decl} '}' | ('class' | 'struct' | 'union') qid
+qual : 'const' | 'volatile' | 'mutable' | 'register' | 'static' | 'constexpr' | 'thread_local' | 'inline' | 'extern'
+core : fund | ['typename'] qid | [qid] 'auto' | 'decltype' '(' (expr | 'auto') ')' | class | enum
+fund : word {sized} | sized {sized | 'const'} [word {sized}]
+word : 'int' | 'char' | 'bool' | 'double' | 'float' | 'void' | 'wchar_t' | 'char8_t' | 'char16_t' | 'char32_t'
+sized : 'unsigned' | 'signed' | 'long' | 'short'
+class : ('class' | 'struct' | 'union') {attr} [qid] ['final'] [':' basecls {',' basecls}] members | ('class' | 'struct' | 'union') {attr} qid
+members : '{' {decl | {qual} (fund | qid) ':' expr ';' | ('public' | 'private' | 'protected') [ID] ':'} '}'
 basecls : {'public' | 'private' | 'protected' | 'virtual'} qid ['...']
-enum : 'enum' ['class' | 'struct'] [ID] [':' type] '{' [enumer {',' enumer} [',']] '}' | 'enum' ['class'] ID
-enumer : ID ['=' expr]
+enum : 'enum' ['class' | 'struct'] {attr} [qid] [':' type] '{' [enumer {',' enumer} [',']] '}' | 'enum' ['class' | 'struct'] qid [':' type]
+enumer : ID {attr} ['=' expr]
 qid : ['::'] qpart {'::' ['template'] qpart}
-qpart : ID [targs] | '~' ID | 'operator' oper | 'final'
+qpart : ID [targs] | '~' ID | 'operator' oper | 'final' | 'override' | 'restrict'
 targs : '<' [targ {',' targ}] '>'
 targ : typeid ['...'] | expr ['...']
 typeid : type {ptr} {suffix}
-ptr : ('*' | '&' | '&&' | qid '::' '*') {'const' | 'volatile'}
+ptr : ('*' | '&' | '&&' | qid '::' '*') {'const' | 'volatile' | 'restrict'}
 declarator : {ptr} ['...'] dcore {suffix}
 dcore : qid | '(' declarator ')' | '[' ID {',' ID} ']'
-suffix : '[' [expr] ']' | '(' [params] ')' {'const' | 'noexcept' ['(' expr ')'] | 'override' | 'final' | '&' | '&&' | 'volatile'} ['->' typeid]
-params : param {',' param} [',' '...'] | '...'
-param : {attr} type {ptr} ['...'] [dcore] {suffix} ['=' init]
-oper : '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '~' | '!' | '=' | '<' | '>' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<' | '>' '>' | '==' | '!=' | '<=' | '>=' | '<=>' | '&&' | '||' | '++' | '--' | ',' | '->' | '(' ')' | '[' ']' | 'new' | 'delete' | 'bool' | type | STR ID
+suffix : '[' [expr] ']' | called
+called : '(' [params] ')' {'const' | 'noexcept' ['(' expr ')'] | 'throw' '(' [typeid {',' typeid}] ')' | 'override' | 'final' | '&' | '&&' | 'volatile'} ['->' typeid]
+params : param {',' param} [[','] '...'] | '...'
+param : {attr} ['this'] type {ptr} ['...'] [dcore | '(' {ptr} [qid] ')'] {suffix} ['=' init]
+oper : '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '~' | '!' | '=' | '<' | '>' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<' | '<<=' | '>' '>' | '>' '>=' | '==' | '!=' | '<=' | '>=' | '<=>' | '&&' | '||' | '++' | '--' | ',' | '->' | '->' '*' | '(' ')' | '[' ']' | 'new' ['[' ']'] | 'delete' ['[' ']'] | type {ptr} | STR [ID]
 body : '{' {stmt} '}'
-stmt : body | ';' | expr ';' | simple ';' | 'if' ['constexpr'] '(' [sinit ';'] cond ')' stmt ['else' stmt] | 'while' '(' cond ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
- | 'for' '(' [sinit] ';' [cond] ';' [expr] ')' stmt | 'for' '(' [simple ';'] type {ptr} dcore ':' init ')' stmt | 'return' [init] ';' | 'break' ';' | 'continue' ';' | 'goto' ID ';' | ID ':' stmt
- | 'switch' '(' [sinit ';'] cond ')' stmt | 'case' expr ['...' expr] ':' {stmt} | 'default' ':' {stmt} | 'try' body catch {catch} | 'using' 'namespace' qid ';' | 'using' ID '=' typeid ';' | 'using' qid ';' | 'static_assert' '(' args ')' ';' | attr stmt | 'co_return' [expr] ';'
+stmt : body | ';' | local ';' | 'if' ['constexpr'] '(' [sinit ';'] cond ')' stmt ['else' stmt] | 'while' '(' cond ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
+ | 'for' '(' [sinit] ';' [cond] ';' [expr] ')' stmt | 'for' '(' [sinit ';'] type {ptr} dcore ':' init ')' stmt | ID ':' stmt
+ | 'switch' '(' [sinit ';'] cond ')' stmt | 'case' expr ['...' expr] ':' [stmt] | 'default' ':' [stmt] | 'try' body catch {catch} | attr stmt
 catch : 'catch' '(' (param | '...') ')' body
-sinit : simple | expr
+sinit : {attr | fspec} type idecl {',' idecl} | expr
 cond : expr | type {ptr} dcore ('=' init | braces)
 args : arg {',' arg}
 arg : init ['...']
 expr : assign {',' assign}
-assign : operand {binop operand} ['?' expr ':' assign] ['=' init] | 'throw' [assign]
-binop : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<=>' | '<<' | '>' '>' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '.' '*' | '->' '*' | 'and' | 'or'
-operand : ('+' | '-' | '++' | '--' | '!' | '~' | '*' | '&' | '&&' | 'not' | 'co_await') operand | '(' typeid ')' operand | 'sizeof' ['...'] (operand | '(' typeid ')') | new | ['::'] 'delete' ['[' ']'] operand | primary {trailer}
-new : ['::'] 'new' ['(' args ')'] (type | '(' typeid ')') {ptr} {'[' expr ']'} ['(' [args] ')' | braces]
-primary : qid | NUM | STR {STR | ID} | CHAR | 'this' | 'true' | 'false' | 'nullptr' | '(' expr ')' | '(' expr '...' ')' | base {base} ('(' [args] ')' | braces) | qid braces | lambda | 'typename' qid ('(' [args] ')' | braces) | cast '<' typeid '>' '(' expr ')' | 'typeid' '(' (expr | typeid) ')' | '(' '{' {stmt} '}' ')' | 'decltype' '(' expr ')' [braces]
+assign : operand {binop operand} ['?' [expr] ':' assign] ['=' init] | 'throw' [assign]
+binop : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<=>' | '<<' | '>' '>' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '.' '*' | '->' '*' | 'and' | 'or' | 'xor'
+operand : ('+' | '-' | '++' | '--' | '!' | '~' | '*' | '&' | '&&' | 'not' | 'co_await') operand | '(' typeid ')' (operand | braces) | 'sizeof' ['...'] (operand | '(' typeid ')') | 'alignof' '(' typeid ')' | 'noexcept' '(' expr ')' | new | ['::'] 'delete' ['[' ']'] operand | primary {trailer}
+new : ['::'] 'new' ['(' args ')'] (type | '(' typeid ')') {ptr} {'[' [expr] ']'} ['(' [args] ')' | braces]
+primary : qid | NUM | STR {STR | ID} | CHAR | 'this' | 'true' | 'false' | 'nullptr' | '(' expr ')' | '(' expr '...' ')' | '(' fold ')' | fund ('(' [args] ')' | braces) | qid braces | lambda | requires | 'typename' qid ('(' [args] ')' | braces) | cast '<' typeid '>' '(' expr ')' | 'typeid' '(' (expr | typeid) ')' | '(' body ')' | 'decltype' '(' expr ')' [braces | '(' [args] ')']
+fold : '...' binop operand | operand binop '...' [binop operand]
 cast : 'static_cast' | 'dynamic_cast' | 'const_cast' | 'reinterpret_cast'
 lambda : '[' [caps] ']' ['<' [tparam {',' tparam}] '>'] ['(' [params] ')'] {'mutable' | 'constexpr' | 'noexcept'} ['->' typeid] body
 caps : cap {',' cap}
-cap : '=' | ['&'] ID ['=' init | '...'] | '&' | ['*'] 'this'
+cap : '=' | ['&'] ['...'] ID ['=' init | braces | '...'] | '&' | ['*'] 'this'
 trailer : ('.' | '->') ['template'] qid | '(' [args] ')' | '[' init ']' | '++' | '--'
+c : {kdecl}
+kid : ID | 'class' | 'new' | 'delete' | 'template' | 'typename' | 'namespace' | 'using' | 'public' | 'private' | 'protected' | 'virtual' | 'this' | 'try' | 'catch' | 'throw' | 'operator' | 'friend' | 'explicit' | 'mutable' | 'final' | 'override' | 'concept' | 'requires' | 'and' | 'or' | 'not' | 'xor' | 'noexcept' | 'decltype' | 'typeid' | 'co_await' | 'co_return' | 'co_yield' | 'consteval' | 'constinit' | 'static_cast' | 'dynamic_cast' | 'const_cast' | 'reinterpret_cast' | 'wchar_t' | 'char8_t' | 'char16_t' | 'char32_t'
+kdecl : kfunction | ksimple ';' | ';' | 'static_assert' '(' kargs ')' ';'
+kfunction : kspec kheader {kspec kdeclarator {',' kdeclarator} ';'} kbody | kid '(' [kid {',' kid}] ')' {kspec kdeclarator {',' kdeclarator} ';'} kbody
+kspec : {kqual} kcore {kqual}
+kqual : 'const' | 'volatile' | 'static' | 'extern' | 'inline' | 'register' | 'auto' | 'restrict' | 'thread_local' | 'constexpr' | 'alignas' '(' (kexpr | ktype) ')'
+kcore : kfund | kid | ('struct' | 'union') [kid] '{' {kspec [kfield {',' kfield}] ';' | ';'} '}' | ('struct' | 'union') kid | 'enum' [kid] '{' kid ['=' kassign] {',' kid ['=' kassign]} [','] '}' | 'enum' kid
+kfund : kword {sized} | sized {sized | 'const'} [kword {sized}]
+kword : 'int' | 'char' | 'bool' | 'double' | 'float' | 'void'
+kfield : kdeclarator [':' kassign] | ':' kassign
+kdeclarator : {'*' {kqual}} (kid | '(' kdeclarator ')') {ksuffix}
+kheader : {'*' {kqual}} (kid | '(' kdeclarator ')') kcalled {ksuffix}
+ksuffix : '[' {kqual} [kassign | '*'] ']' | kcalled
+kcalled : '(' [kparam {',' kparam} [',' '...']] ')' | '(' kid {',' kid} ')'
+kparam : kspec {'*' {kqual}} [kid | '(' kparen ')'] {ksuffix}
+kparen : {'*' {kqual}} [kid | '(' kparen ')'] {ksuffix}
+ktype : kspec {'*' {kqual}} ['(' kparen ')'] {ksuffix}
+ksimple : kspec kinit {',' kinit} | 'typedef' kspec kdeclarator {',' kdeclarator} | {kqual} (('struct' | 'union') [kid] '{' {kspec [kfield {',' kfield}] ';' | ';'} '}' | ('struct' | 'union') kid | 'enum' [kid] '{' kid ['=' kassign] {',' kid ['=' kassign]} [','] '}')
+kinit : kdeclarator ['=' kvalue]
+kvalue : kassign | kbraces
+kbraces : '{' [kitem {',' kitem} [',']] '}'
+kitem : [{'.' kid | '[' kassign ['...' kassign] ']'} '='] kvalue
+kbody : '{' {kstmt} '}'
+kstmt : kbody | ';' | klocal ';' | 'if' '(' kexpr ')' kstmt ['else' kstmt] | 'while' '(' kexpr ')' kstmt | 'do' kstmt 'while' '(' kexpr ')' ';' | 'for' '(' [ksimple | kexpr] ';' [kexpr] ';' [kexpr] ')' kstmt
+ | kid ':' [kstmt] | 'switch' '(' kexpr ')' kstmt | 'case' kassign ['...' kassign] ':' [kstmt] | 'default' ':' [kstmt]
+klocal : ksimple | kexpr | 'return' [kexpr] | 'break' | 'continue' | 'goto' kid | 'static_assert' '(' kargs ')'
+kargs : kassign {',' kassign}
+kexpr : kargs
+kassign : koperand {kbin koperand} ['?' [kexpr] ':' kassign]
+kbin : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>='
+koperand : ('+' | '-' | '++' | '--' | '!' | '~' | '*' | '&' | '&&') koperand | '(' ktype ')' (koperand | kbraces) | ('sizeof' | 'alignof') (koperand | '(' ktype ')') | kprimary {ktrailer}
+kprimary : kid | NUM | STR {STR | ID} | CHAR | 'true' | 'false' | 'nullptr' | '(' kexpr ')' | '(' kbody ')'
+ktrailer : ('.' | '->') kid | '(' [karg {',' karg}] ')' | '[' kexpr ']' | '++' | '--'
+karg : kassign | ktype
 """
 
 PYTHON_LINE = r"""

@@ -7,9 +7,9 @@ token sequence (identifiers, numbers and strings count as kinds), so files of on
 rejected Python files are confirmed with the interpreter's own parser, as that is what "Python 3"
 means here.
 
-Defined results: rows with a null or empty file, a null tag, or a tag of no supported language are no
-case and are not counted in the rates. Texts of any length are read whole. Repeated rows come out
-repeatedly.
+Defined results: rows with a null or empty file or a null or blank tag are no case and are not counted in the
+rates. A tag of no supported language is no case either, but its files are counted under that tag, as
+not checked (``parses`` null). Texts of any length are read whole. Repeated rows come out repeatedly.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,8 @@ from lodewright.llm.gll import Grammar
 # Spellings of the tags, lower case without blanks.
 LANGUAGES = {
     "python": ("python", "python3", "py", "py3", "cpython", "python3.11", "python3.12", "python3.13"),
-    "cpp": ("cpp", "c++", "c++11", "c++14", "c++17", "c++20", "cxx", "cpp17", "cpp20", "c"),
+    "cpp": ("cpp", "c++", "c++11", "c++14", "c++17", "c++20", "c++23", "cxx", "cpp17", "cpp20", "cpp23"),
+    "c": ("c", "c89", "c99", "c11", "c17", "c23", "ansic"),
     "java": ("java", "java8", "java11", "java17"),
     "javascript": ("javascript", "js", "node", "nodejs", "ecmascript"),
     "go": ("go", "golang"),
@@ -44,10 +46,10 @@ _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 
 
 class Language:
-    """A brace language: its token pattern and grammar."""
+    """A brace language: its token pattern and grammar, of which all start rules run together."""
 
-    def __init__(self, grammar: str, starts: tuple[str, ...], pattern: str, name: str = _NAME) -> None:
-        self.grammar = Grammar(grammar, starts)
+    def __init__(self, grammar: Grammar, pattern: str, name: str = _NAME) -> None:
+        self.grammar = grammar
         known = self.grammar.terminals
         ops = sorted((t for t in known if not re.match(r"\w", t) and t != "$"), key=len, reverse=True)
         self.pattern = re.compile("|".join([pattern, name, *map(re.escape, ops), r"\s+|."]), re.S)
@@ -80,11 +82,17 @@ class Language:
             out.append(k)
         return out
 
+    def readings(self, text: str) -> Iterator[list[int]]:
+        """The token sequences the text may stand for; one of them has to be accepted."""
+        yield self.tokens(text)
+
     def accepts(self, text: str) -> bool:
-        tokens = self.tokens(text)
+        return any(map(self._accepted, self.readings(text)))
+
+    def _accepted(self, tokens: list[int]) -> bool:
         if -1 in tokens:
             return False
-        shape = b"".join(k.to_bytes(2, "little") for k in tokens)
+        shape = array("H", tokens).tobytes()
         got = self.shapes.get(shape)
         if got is None:
             if len(self.shapes) >= MAX_SHAPES:
@@ -95,20 +103,61 @@ class Language:
 
 class _Java(Language):
     def __init__(self) -> None:
-        super().__init__(grammars.JAVA, ("unit", "compact"), rf'{_COMMENT}|"""[\s\S]*?"""|{_STRING}|{_CHAR}|{_NUMBER}', r"[^\W\d]\w*|\$\w+")
+        grammar = Grammar(grammars.JAVA, ("unit", "compact", "modular"), ("block", "classbody", "recordbody", "enumbody", "switchbody"), ("simple",))
+        super().__init__(grammar, rf'{_COMMENT}|"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_STRING}|{_CHAR}|{_NUMBER}', r"[^\W\d]\w*|\$\w+")
+        number = lambda *ts: {self.known[t] for t in ts}
+        self._context = number("record", "sealed", "non", "permits", "yield", "when", "open", "module")
+        self._modifiers = number("public", "private", "protected", "static", "abstract", "strictfp", "class", "interface", "@")
+        self._begins = number(";", "{", "}", ":", "->", ")") | {0}
+        self._goes_on = number("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", ".", "[", "->", "::", ",", ";", ")")
+
+    def tokens(self, text: str) -> list[int]:
+        """Words that are keywords only where they fit are names elsewhere."""
+        out = super().tokens(text)
+        if self._context.isdisjoint(out):
+            return out
+        known = self.known
+        name = known["ID"]
+        for i, k in enumerate(out):
+            if k not in self._context:
+                continue
+            before, after, third = out[i - 1] if i else 0, out[i + 1] if i + 1 < len(out) else 0, out[i + 2] if i + 2 < len(out) else 0
+            fits = (
+                (k == known["record"] and after == name and third in (known["("], known["<"]))
+                or (k == known["sealed"] and after in self._modifiers)
+                or (k == known["non"] and after == known["-"] and third == known["sealed"])
+                or (k == known["permits"] and after == name and before in (name, known[">"]))
+                or (k == known["yield"] and before in self._begins and after not in self._goes_on)
+                or (k == known["when"] and before in (name, known[")"]) and after not in self._goes_on)
+                or (k == known["open"] and after == known["module"])
+                or (k == known["module"] and before in self._begins | {known["open"]} and after == name and third in (known["."], known["{"]))
+            )
+            if not fits:
+                out[i] = name
+        return out
 
 
 class _Cpp(Language):
-    """C++ and C; preprocessor lines are dropped."""
+    """C++, or C. Preprocessor lines are dropped; where conditions choose between branches, all branches, the first or the last must be accepted."""
 
-    def __init__(self) -> None:
+    _branch = re.compile(r"[ \t]*#[ \t]*(if|ifdef|ifndef|else|elif|elifdef|elifndef|endif)\b")
+    _macro = re.compile(r"[A-Z_][A-Z0-9_]*[A-Z0-9]")
+
+    def __init__(self, start: str = "cpp") -> None:
         directive = r"(?m:^[ \t]*\#(?:[^\n\\]|\\[\s\S])*)"
-        super().__init__(grammars.CPP, ("cpp", "c"), rf'{directive}|{_COMMENT}|(?:u8|[uUL])?R"(\w*)\([\s\S]*?\)\1"|(?:u8|[uUL])?{_STRING}|(?:u8|[uUL])?{_CHAR}|{_NUMBER}')
+        grammar = Grammar(grammars.CPP, (start,), ("space", "members", "body", "braces", "kbody", "kbraces"), ("local", "klocal"))
+        super().__init__(grammar, rf'{directive}|{_COMMENT}|(?:u8|[uUL])?R"(\w*)\([\s\S]*?\)\1"|(?:u8|[uUL])?{_STRING}|(?:u8|[uUL])?{_CHAR}|{_NUMBER}')
         # One group would make findall return groups.
         self._finditer = self.pattern.finditer
+        known = self.known
+        self._mark = {known[t] for t in (";", "}", "{", ":")}
+        self._not_macro = {known[t] for t in known if not re.match(r"\w", t) and t != "$" and t not in ("~", "::", "[")} - {known["}"]}
 
     def tokens(self, text: str) -> list[int]:
-        memo, out = self.known, []
+        return self._tokens(text, False)
+
+    def _tokens(self, text: str, no_macros: bool) -> list[int]:
+        memo, out, macros = self.known, [], []
         for m in self._finditer(text):
             t = m[0]
             k = memo.get(t)
@@ -117,8 +166,63 @@ class _Cpp(Language):
                     continue
                 if (k := self.kind(t)) is None:
                     continue
+                if no_macros and self._macro.fullmatch(t):
+                    macros.append(len(out))
             out.append(k)
-        return out
+        return self._without(out, macros) if macros else out
+
+    def _without(self, out: list[int], macros: list[int]) -> list[int]:
+        """The tokens without macros that stand as declarations: ``NAME`` or ``NAME(...)`` where one may begin and with something that begins one, or nothing, behind."""
+        known, drop = self.known, set()
+        for i in macros:
+            before = next((out[j] for j in range(i - 1, -1, -1) if j not in drop), known[";"])
+            if before not in self._mark:
+                continue
+            j = i + 1
+            if j < len(out) and out[j] == known["("]:
+                depth = 0
+                while j < len(out):
+                    depth += (out[j] == known["("]) - (out[j] == known[")"])
+                    j += 1
+                    if not depth:
+                        break
+                if j < len(out) and out[j] == known[";"]:
+                    j += 1
+                elif j < len(out) and out[j] in self._not_macro:
+                    continue
+            elif j < len(out) and (out[j] in self._not_macro or out[j] == known["ID"]):
+                continue
+            drop.update(range(i, j))
+        return [k for i, k in enumerate(out) if i not in drop]
+
+    def readings(self, text: str) -> Iterator[list[int]]:
+        texts = [text]
+        if "#" in text and re.search(r"(?m)^[ \t]*#[ \t]*el(?:se|if)", text):
+            texts += [self._chosen(text, last) for last in (False, True)]
+        for t in texts:
+            yield self.tokens(t)
+        for t in texts:
+            yield self._tokens(t, True)
+
+    def _chosen(self, text: str, last: bool) -> str:
+        """The text with the first, or the last, branch of every condition."""
+        lines = text.split("\n")
+        stack: list[list] = []  # of each open condition: the lines of its branches
+        out: list[str] = []
+        for line in lines:
+            m = self._branch.match(line)
+            if m and m[1].startswith("if"):
+                stack.append([[]])
+            elif m and stack and m[1] != "endif":
+                stack[-1].append([])
+            elif m and stack:
+                branches = stack.pop()
+                (stack[-1][-1] if stack else out).extend(branches[-1 if last else 0])
+            else:
+                (stack[-1][-1] if stack else out).append(line)
+        for branches in stack:
+            out.extend(branches[-1 if last else 0])
+        return "\n".join(out)
 
 
 class _Go(Language):
@@ -127,7 +231,7 @@ class _Go(Language):
     _ends = {"break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"}
 
     def __init__(self) -> None:
-        super().__init__(grammars.GO, ("file",), rf"{_COMMENT}|`[^`]*`|{_STRING}|{_CHAR}|{_NUMBER}")
+        super().__init__(Grammar(grammars.GO, ("file",), ("block", "cases", "comms", "litval"), ("plain",)), rf"{_COMMENT}|`[^`]*`|{_STRING}|{_CHAR}|{_NUMBER}")
 
     def tokens(self, text: str) -> list[int]:
         known, out, may_end = self.known, [], False
@@ -150,16 +254,50 @@ class _JavaScript(Language):
     """JavaScript; a line end that may end a statement is a token of its own."""
 
     _regex_after = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "do", "else", "instanceof", "yield", "await"}
-    _ends = {")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "return", "break", "continue", "debugger", "yield", "async", "let", "static"}
-    _goes_on = set(". , ; ) ] ? : ( [ { } * / % & | ^ && || ?? == != === !== < > <= >= << >> >>> = += -= *= /= %= **= => ?. in of instanceof else catch finally + - **".split())
+    _ends = {")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "return", "break", "continue", "debugger", "yield", "async", "let", "static", "of", "get", "set", "from", "as", "await"}
+    _goes_on = set(". , ; ) ] ? : ( [ { } * / % & | ^ && || ?? == != === !== < > <= >= << >> >>> = += -= *= /= %= **= => ?. in of instanceof catch finally + - **".split())
 
     def __init__(self) -> None:
-        super().__init__(grammars.JAVASCRIPT, ("script", "module"), rf"{_COMMENT}|{_STRING}|'(?:[^'\\\n]|\\[\s\S])*'|{_NUMBER}", r"[^\W\d$][\w$]*|\$[\w$]*")
+        plain = ("start", "plain", "top", "local")
+        grammar = Grammar(grammars.JAVASCRIPT, ("script", "module"), ("body", "classbody", "cases"), ("top", "local"), (";", "NL"), dict.fromkeys(plain, ("{", "function", "class")))
+        super().__init__(grammar, rf"<!--[^\n]*|{_COMMENT}|{_STRING}|'(?:[^'\\\n]|\\[\s\S])*'|{_NUMBER}", r"[^\W\d$][\w$]*|\$[\w$]*")
         self._regex = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
 
+        number = lambda *ts: {self.known[t] for t in ts}
+        self._context = number("get", "set", "of", "from", "as")
+        self._keys = number("ID", "STR", "NUM", "[", "#", "async", "let", "static", "get", "set", "of", "from", "as")
+        self._words = {k for t, k in self.known.items() if re.match(r"[a-z]", t)}
+        self._members = number("{", "}", ",", ";", "NL", "static")
+
     def tokens(self, text: str) -> list[int]:
         out: list[int] = []
-        return out if self._scan(text, 0, out, "") == len(text) else [-1]
+        if text[:2] == "#!":
+            text = text[text.find("\n") :] if "\n" in text else ""
+        if self._scan(text, 0, out, "") != len(text):
+            return [-1]
+        return self._names(out)
+
+    def _names(self, out: list[int]) -> list[int]:
+        """Words that are keywords only where they fit are names elsewhere."""
+        if self._context.isdisjoint(out):
+            return out
+        known = self.known
+        name = known["ID"]
+        for i, k in enumerate(out):
+            if k not in self._context:
+                continue
+            before, after = out[i - 1] if i else 0, out[i + 1] if i + 1 < len(out) else 0
+            if k in (known["get"], known["set"]):
+                fits = before in self._members and (after in self._keys or after in self._words)
+            elif k == known["of"]:
+                fits = before in (name, known["]"], known["}"]) and after not in (known[";"], known[","], known[")"], known["="], known["."], known["NL"], 0)
+            elif k == known["from"]:
+                fits = after == known["STR"] and before in (known["}"], name, known["*"])
+            else:
+                fits = (after == name or after in self._words or after == known["STR"]) and (before == name or before in self._words or before in (known["*"], known["STR"]))
+            if not fits:
+                out[i] = name
+        return out
 
     def _scan(self, text: str, at: int, out: list[int], until: str) -> int:
         """Tokens from ``at`` up to the closing brace of a template's hole, or the end."""
@@ -183,7 +321,7 @@ class _JavaScript(Language):
                     return at
                 k = known.get(t)
                 if k is None:
-                    k = known["STR"] if t[0] == "'" and len(t) > 1 else self.kind(t)
+                    k = known["STR"] if t[0] == "'" and len(t) > 1 else None if t[:4] == "<!--" else self.kind(t)
                     if k is None:
                         line = line or "\n" in t
                         continue
@@ -215,7 +353,7 @@ class _JavaScript(Language):
                 if at < 0 or -1 in inner:
                     return -1
                 e = self.known
-                if not self.grammar.recognise([e["("], *[k for k in inner if k != e["NL"]], e[")"]]):
+                if not self._accepted([e["("], *self._names([k for k in inner if k != e["NL"]]), e[")"]]):
                     return -1
             else:
                 at += 1
@@ -461,7 +599,7 @@ def python_parses(text: str) -> bool:
         return True
 
 
-_MAKERS = {"python": _Python, "java": _Java, "cpp": _Cpp, "go": _Go, "javascript": _JavaScript}
+_MAKERS = {"python": _Python, "java": _Java, "cpp": _Cpp, "c": lambda: _Cpp("c"), "go": _Go, "javascript": _JavaScript}
 _READY: dict[str, object] = {}
 
 
@@ -475,9 +613,9 @@ def parses(language: str, text: str) -> bool:
 
 
 def language_of(tag: Column) -> Column:
-    """Supported language that a tag names, null for others."""
+    """Supported language that a tag names; other tags are themselves, in lower case without blanks."""
     plain = F.regexp_replace(F.lower(tag), r"\s+", "")
-    out = F.lit(None).cast("string")
+    out = plain
     for language, names in LANGUAGES.items():
         out = F.when(plain.isin(*names), F.lit(language)).otherwise(out)
     return out
@@ -485,21 +623,22 @@ def language_of(tag: Column) -> Column:
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [parses(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+        ok = [parses(a, b) if a in _MAKERS else None for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ok, pa.bool_())], names=["tbl", "rec_id", "repo", "language", "parses"])
 
 
 def checked(files: DataFrame) -> DataFrame:
-    """``tbl, rec_id, repo, language, parses`` of every file that counts.
+    """``tbl, rec_id, repo, language, parses`` of every file that counts; ``parses`` is null where the language is not supported.
 
     ``files``: ``tbl, rec_id, repo, tag, file``.
     """
     src = files.select("tbl", F.col("rec_id").cast("bigint").alias("rec_id"), "repo", language_of(F.col("tag")).alias("language"), "file")
-    src = spread(src.where("language is not null and file is not null and file <> ''"))
+    src = src.select("tbl", "rec_id", "repo", "language", F.when(F.col("language").isin(*LANGUAGES), F.col("file")).otherwise(F.lit("-")).alias("body"), "file")
+    src = spread(src.where("language <> '' and file <> ''").drop("file"))
     return src.mapInArrow(_check, "tbl string, rec_id bigint, repo string, language string, parses boolean")
 
 
 def rates(files: DataFrame) -> DataFrame:
-    """``repo, language, n_files, n_invalid, invalid_rate`` per repository and language (null repositories together)."""
-    bad = F.sum(F.when(F.col("parses"), 0).otherwise(1))
-    return checked(files).groupBy("repo", "language").agg(F.count("*").alias("n_files"), bad.alias("n_invalid"), F.round(bad / F.count("*"), 6).alias("invalid_rate"))
+    """``repo, language, n_files, n_checked, n_invalid, invalid_rate`` per repository and language (null repositories together); the rate is null where no file is checked."""
+    n, bad = F.count("parses"), F.count_if(~F.col("parses"))
+    return checked(files).groupBy("repo", "language").agg(F.count("*").alias("n_files"), n.alias("n_checked"), bad.alias("n_invalid"), F.round(bad / F.nullif(n, F.lit(0)), 6).alias("invalid_rate"))
