@@ -21,6 +21,7 @@ and share every stack node, and a text is accepted if any of them is.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 
@@ -178,6 +179,15 @@ class Grammar:
 
         A terminal the grammar does not know is any negative number.
         """
+        collects = gc.isenabled()
+        gc.disable()  # millions of small tuples, none of them in a cycle
+        try:
+            return self._recognise(tokens)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _recognise(self, tokens: list[int]) -> bool:
         if not self.islands:
             return self._run(tokens, 0, self.start)
         if min(tokens, default=0) < 0 or not self._extents(tokens):

@@ -302,7 +302,7 @@ rhs : exprs | yield
 yield : 'yield' [exprs] | 'yield' 'from' expr
 targets : starget {',' starget} [',']
 starget : ['*'] target
-target : ID | primary '.' ID | primary '[' slices ']' | '(' [targets] ')' | '[' [targets] ']'
+target : ID | atom {trail} ('.' ID | '[' slices ']') | '(' [targets] ')' | '[' [targets] ']'
 aug : '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
 exprs : sexpr {',' sexpr} [',']
 sexpr : '*' arith | named
@@ -314,7 +314,8 @@ cmp : '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' | 'is' 'n
 arith : unary {binop unary}
 binop : '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '&' | '|' | '^' | '<<' | '>>'
 unary : ('+' | '-' | '~') unary | ['await'] primary
-primary : atom | primary '.' ID | primary '(' [args] ')' | primary '[' slices ']'
+primary : atom {trail}
+trail : '.' ID | '(' [args] ')' | '[' slices ']'
 atom : ID | NUM | STR {STR} | BYTES {BYTES} | '...' | 'None' | 'True' | 'False' | '(' ')' | '(' yield ')' | '(' exprs ')' | '(' sexpr comps ')' | '[' [exprs] ']' | '[' sexpr comps ']' | '{' [dict] '}' | '{' exprs '}' | '{' (kv | sexpr) comps '}'
 dict : ditem {',' ditem} [',']
 ditem : kv | '**' arith

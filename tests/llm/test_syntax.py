@@ -259,7 +259,7 @@ def test_dialects_run_together():
 def test_table(frame):
     rows = [
         ("corpus", 1, "r", "Python 3", "x = 1"), ("corpus", 2, "r", "PY", "x ="), ("corpus", 3, None, "c++17", "int main() {"), ("corpus", 4, "r", None, "x ="), ("corpus", 5, "r", "python", None), ("corpus", 6, "r", "python", ""),
-        ("corpus", 7, "r", "cobol", "MOVE"), ("documents", None, "q", "golang", "package main"), ("documents", 9, "q", "go", "package main\nfunc {"), ("documents", 9, "q", "go", "package main\nfunc {"), ("documents", 10, "q", "python", "x = [" + "1, " * 200_000 + "]"),
+        ("corpus", 7, "r", "cobol", "MOVE"), ("documents", None, "q", "golang", "package main"), ("documents", 9, "q", "go", "package main\nfunc {"), ("documents", 9, "q", "go", "package main\nfunc {"), ("documents", 10, "q", "python", "x = [" + "1, " * 30_000 + "]"),
     ]
     df = frame(rows, "tbl string, rec_id bigint, repo string, tag string, file string")
     got = [(r.rec_id, r.parses) for r in syntax.checked(df).collect()]
