@@ -1,10 +1,11 @@
 """Problem 5: records that differ only in format.
 
-A text's canonical form is its letters and digits, lower-cased. A *record* (one JSON object, or at
+A text's canonical form is its letters and digits in compatibility form (full-width letters, ligatures and
+composed accents are those they stand for), case folded. A *record* (one JSON object, or at
 least four lines, all ``name: value``) has a second canonical form, its fields in sorted order. Both
-forms are hashed to 128 bits; a second, independent 64-bit hash and the length go with the key, so
-texts whose 128 bits collide stay apart and are counted. Copies are counted by an aggregation with
-map-side combining; only texts of which a record is a copy go on to the join over field order.
+forms are hashed to 128 bits; a second, independent 64-bit hash, seeded with the length, goes with
+each key, so texts whose 128 bits collide stay apart; ``collisions`` counts them. Copies are counted by an
+aggregation with map-side combining; only texts of which a record is a copy go on to the join over field order.
 
 Defined results: texts that are null or hold no letter or digit are copies of nothing, each is a
 record of its own in ``collapse``. The lowest id represents a text; repeated rows count as copies.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import pyarrow as pa
 import xxhash
@@ -28,9 +30,15 @@ _LINE = re.compile(r"\s*[^\s:][^:\n]*:.*")
 
 
 def letters(text: str) -> str:
+    if not text.isascii():
+        text = normalize("NFKC", normalize("NFKC", text).casefold())
     return NOT_ALNUM.sub("", text.lower())
 
 
+def _check(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw, len(raw)) - (1 << 63)
+
+
 def _flat(value: object) -> str:
     return letters(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
 
@@ -73,9 +81,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             raw = canon.encode()
             one.append(xxhash.xxh3_128_digest(raw))
-            check.append(xxhash.xxh64_intdigest(raw, len(raw)) - (1 << 63))
+            check.append(_check(raw))
             f = fields(text)
-            two.append(None if f is None else xxhash.xxh3_128_digest("\x1f".join(f"{len(a)}:{a}={b}" for a, b in f).encode()))
+            raw = b"" if f is None else "\x1f".join(f"{len(a)}:{a}={b}" for a, b in f).encode()
+            # The check hash of the fields is part of their key.
+            two.append(None if f is None else xxhash.xxh3_128_digest(raw) + (_check(raw) + (1 << 63)).to_bytes(8, "little"))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.binary()), pa.array(check, pa.int64()), pa.array(two, pa.binary())], names=["doc_id", "k", "check", "f"])
 
 
@@ -94,7 +104,7 @@ def collapse(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keyed = reliable(canonical_keys(documents, id_col=id_col, text_col=text_col))
     has = keyed.where("k is not null")
     # Map-side combined: one row per text, however hot it is.
-    groups = has.groupBy("k", "check").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min("f").alias("f"))
+    groups = has.groupBy("k", "check").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     # Texts with records join over the field key. A text's letters nearly always fix its fields;
     # where not (the same letters cut into other fields) all its field keys count.
     links = has.where("f is not null").groupBy("k", "check", "f").agg(F.min("doc_id").alias("low"))
@@ -125,6 +135,15 @@ def _roots(links: DataFrame, groups: DataFrame) -> DataFrame:
             return state.groupBy("k", "check").agg(F.min("root").alias("root"))
 
 
+def collisions(keyed: DataFrame) -> DataFrame:
+    """One row: ``n_texts, n_text_collisions, n_fields, n_field_collisions``; a collision is one 128-bit hash with several check hashes."""
+    texts = keyed.where("k is not null").groupBy("k", "check").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count("*").alias("m"))
+    a = texts.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n_texts"), F.count_if(F.col("m") > 1).alias("n_text_collisions"))
+    parts = keyed.where("f is not null").select(F.substring("f", 1, 16).alias("h"), F.substring("f", 17, 8).alias("c")).distinct().groupBy("h").agg(F.count("*").alias("m"))
+    b = parts.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n_fields"), F.count_if(F.col("m") > 1).alias("n_field_collisions"))
+    return a.crossJoin(b)  # one row each
+
+
 def copies(documents: DataFrame, **cols: str) -> DataFrame:
     """``first_doc_id, doc_id``: each document that is a copy of an earlier id."""
     _, members = collapse(documents, **cols)

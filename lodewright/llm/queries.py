@@ -71,6 +71,11 @@ def p5_texts(spark: SparkSession, sf: str) -> DataFrame:
     return formatdup.collapse(read(spark, sf, "documents", "doc_id", "text"))[0]
 
 
+def p5_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Report: distinct texts and field lists, and how many of their hashes collide."""
+    return formatdup.collisions(formatdup.canonical_keys(read(spark, sf, "documents", "doc_id", "text")))
+
+
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "corpus").select(F.lit("corpus").alias("tbl"), F.col("row_id").alias("rec_id"), "repo", F.col("language_tag").alias("tag"), F.col("generated_solution").alias("file"))
     docs = read(spark, sf, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "repo", F.col("language_tag").alias("tag"), F.col("solution").alias("file"))
@@ -119,5 +124,5 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_items, p2_found, p2_groups, p3_found, p3_contributors, p4_mixture, p4_shares, p5_found, p5_texts, p6_found, p6_rates, p7_ids, p8_containers, p8_waste, p9_found, p9_levels)
+    for f in (p1_found, p1_items, p2_found, p2_groups, p3_found, p3_contributors, p4_mixture, p4_shares, p5_found, p5_texts, p5_collisions, p6_found, p6_rates, p7_ids, p8_containers, p8_waste, p9_found, p9_levels)
 }

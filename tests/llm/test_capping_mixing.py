@@ -101,4 +101,17 @@ def test_nothing_to_mix(frame, spark):
     man, runs, docs = tables(frame, spark, 5)
     assert mixing.mixture(docs.limit(0), mixing.rates(man, runs)).count() == 0
     empty = mixing.rates(man.limit(0), runs)
-    assert empty.count() == 0 and mixing.mixture(docs, empty).count() == 0 and mixing.shares(docs, empty, runs).count() == 0
+    assert mixing.mixture(docs, empty).count() == 0
+    assert {(r.reached_tokens, r.reached_share, r.drawn_bytes) for r in mixing.shares(docs, empty, runs).collect()} == {(0.0, None, 0)}
+    assert mixing.shares(docs, mixing.rates(man, runs.limit(0)), runs).count() == 0
+
+
+def test_wanted_domain_without_source_is_listed(frame, spark):
+    man = frame([(1, "big", "python", 100_000, "admitted", 1), (2, "shut", "math", 9_999, "blocked", 1)], "manifest_id bigint, source_id string, domain string, token_count bigint, status string, recorded_at bigint")
+    runs = spark.sql("SELECT 1L AS run_id, 1 AS created_at, named_struct('python', 500L, 'math', 500L, 'stem', NULL) AS target_10m, named_struct('python', 3L, 'math', 1L, 'stem', NULL) AS actual, 3 AS max_repeats")
+    docs = frame([(i, "big" if i % 2 else "shut", "x" * 50) for i in range(4_000)], "doc_id bigint, source string, text string")
+    got = {r.domain: r for r in mixing.shares(docs, mixing.rates(man, runs), runs).collect()}
+    assert set(got) == {"python", "math"}
+    assert (got["math"].wanted_share, got["math"].planned_tokens, got["math"].reached_tokens, got["math"].reached_share, got["math"].drawn_bytes) == (0.5, 0.0, 0.0, 0.0, 0)
+    assert got["python"].wanted_share == 0.5 and got["python"].reached_share == 1.0 and got["python"].drawn_bytes > 0 and got["python"].planned_tokens == 500
+    assert got["python"].actual_share == 0.75

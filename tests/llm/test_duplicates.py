@@ -113,3 +113,20 @@ def test_letters_alone_link_records_and_plain_texts(frame):
     record, flat = "a: 1\nb: 2\nc: 3\nd: 4", "a 1 b 2 c 3 d 4"
     rows = [(1, "d: 4\nc: 3\nb: 2\na: 1"), (2, record), (3, flat)]
     assert {tuple(r) for r in formatdup.copies(frame(rows, "doc_id bigint, text string")).collect()} == {(1, 2), (1, 3)}
+
+
+def test_letters_in_other_encodings_are_the_same(frame):
+    same = [("caf\u00e9 au lait", "CAFE\u0301 au lait"), ("\uff21\uff22 two", "ab TWO"), ("Stra\u00dfe eins", "STRASSE EINS"), ("\u03a3\u0391\u03a3 \u0391", "\u03c3\u03b1\u03c2 \u03b1")]
+    rows = [(10 * i + j, t) for i, pair in enumerate(same) for j, t in enumerate(pair)] + [(90, "cafe au lait"), (91, "caf au lait")]
+    got = {tuple(r) for r in formatdup.copies(frame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(10 * i, 10 * i + 1) for i in range(len(same))}
+
+
+def test_colliding_hashes_stay_apart_and_are_counted(frame, monkeypatch, spark):
+    keyed = spark.createDataFrame([(1, b"k", 1, None), (2, b"k", 2, None), (3, b"k", 2, None), (4, b"m", 7, b"f" * 16 + b"a" * 8), (5, b"n", 8, b"f" * 16 + b"b" * 8)], "doc_id bigint, k binary, check bigint, f binary")
+    assert tuple(formatdup.collisions(keyed).first()) == (4, 1, 2, 1)
+    monkeypatch.setattr(formatdup, "canonical_keys", lambda *a, **k: keyed)
+    texts, members = formatdup.collapse(keyed)
+    assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 2), (2, 3), (4, 4), (5, 5)}
+    assert {tuple(r) for r in texts.collect()} == {(1, 1), (2, 2), (4, 1), (5, 1)}
+    assert tuple(formatdup.collisions(keyed.limit(0)).first()) == (0, 0, 0, 0)
