@@ -129,7 +129,7 @@ def shares(documents: DataFrame, rate_table: DataFrame, runs: DataFrame, *, seed
     w = Window.partitionBy("run_id")
     share = lambda c: F.round(F.col(c) / F.nullif(F.sum(c).over(w), F.lit(0)), 6)
     return out.select(
-        "run_id", "domain", "max_repeats", F.round("rate", 6).alias("rate"), F.round("most_passes", 6).alias("most_passes"), "wanted_tokens", "planned_tokens",
+        "run_id", "domain", "max_repeats", F.round("rate", 6).alias("rate"), F.round("most_passes", 6).alias("most_passes"), "wanted_tokens", F.round("planned_tokens", 3).alias("planned_tokens"),
         F.round("reached_tokens", 1).alias("reached_tokens"), "drawn_bytes", "actual_tokens", share("wanted_tokens").alias("wanted_share"), share("reached_tokens").alias("reached_share"),
         share("drawn_bytes").alias("drawn_share"), share("actual_tokens").alias("actual_share"),
     )
