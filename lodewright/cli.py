@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from lodewright.tokenizer import corpus, study
 
 def fixture_documents(spark: SparkSession, path: str, registry: dict, date: str) -> DataFrame:
     """Documents of fixture rows, each row with the registry entry of its source (rows of other sources are an error)."""
-    rows = readers.read_fixture(spark, path).cache()
+    rows = readers.read_fixture(spark, path)
     entries = {s["source_id"]: s for s in registry["sources"]}
     out = spark.createDataFrame([], DOCUMENT)
     for sid in sorted(r[0] for r in rows.select("source_id").distinct().collect()):
@@ -50,7 +51,6 @@ def reference_table(spark: SparkSession, directory: str | None) -> tuple[DataFra
 
 
 def build(args: argparse.Namespace) -> dict:
-    run_record.set_seed(args.seed)
     spark = local_session()
     ship(spark)
     registry = readers.load_registry(args.registry)
@@ -73,12 +73,12 @@ def build(args: argparse.Namespace) -> dict:
     result = pipeline.with_ceiling(pipeline.run(docs, refs, vocabulary))
     inventory = backfill_tokens(inventory.withColumn("status", F.when(F.col("source_id").isin(*errors), "blocked").otherwise(F.col("status"))) if errors else inventory, result.docs)
     report = pipeline.metrics_report(result, inventory, registry)
-    report |= {"tokenizer_fingerprint": vocabulary.fingerprint, "environment": run_record.environment(args.seed), "fetch_errors": errors}
-    hits = [r.asDict() for r in result.hits.collect()]
-    contamination = {"n_refs": refs.count(), "benchmark_refs_missing": missing, "n_hits": len(hits), "n_unresolved": 0, "hits": hits}
-    sinks.write_audit(args.out, inventory=inventory, removed=result.removed, contamination=contamination, metrics=report, mixture=report["mixture"], freeze=args.freeze)
+    report |= {"tokenizer_fingerprint": vocabulary.fingerprint, "environment": run_record.environment(spark, args.seed, args.revision), "fetch_errors": errors}
+    contamination = {"n_refs": refs.count(), "benchmark_refs_missing": missing, **report["contamination_hits"]}
+    sinks.write_audit(args.out, inventory=inventory, removed=result.removed, contamination=contamination, hits=result.hits, metrics=report, mixture=report["mixture"], freeze=args.freeze)
+    sinks.write_jsonl(pipeline.metrics.solutions_per_problem(result.start, result.kept), str(Path(args.out) / "solutions_per_problem"))
     run_record.write_identity(args.out, {d: n for d, n in report["mixture"]["actual"].items() if d != "total"}, vocabulary.fingerprint, args.seed)
-    return {"docs": sum(x["n_docs"] for x in pipeline.metrics.tokens_per_source(result.docs).collect()), "stages": report["stages"], "packing": report["packing"]}
+    return {"docs": sum(x["n_docs"] for x in pipeline.metrics.tokens_per_source(result.kept).collect()), "stages": report["stages"], "packing": report["packing"]}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -89,6 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         b.add_argument(name, default=default, required=name == "--registry")
     b.add_argument("--max-docs", type=int)
     b.add_argument("--seed", type=int, default=DEFAULT.seed)
+    b.add_argument("--revision", help="name of the code version, for the run record")
     b.add_argument("--freeze", action="store_true")
     sub.add_parser("verify").add_argument("directory")
     sub.add_parser("study").add_argument("directory")

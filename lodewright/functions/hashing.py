@@ -17,21 +17,32 @@ def fingerprint(payload: object) -> str:
     return hashlib.sha256(json.dumps(payload, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def _json_hash(key: str):
+# Texts of these characters only are wrapped in the JVM; what JSON escapes among them, and how.
+_PLAIN = r"\A[\x20-\x7e\n\r\t\x08\f]*\z"
+_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+
+
+def _json_hash(key: str, text: Column) -> Column:
+    """sha256 of the text wrapped in JSON: in the JVM for plain ASCII, else in Arrow batches (which see nulls for plain texts)."""
+
     @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else fingerprint({key: t}))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else fingerprint({key: t}))
 
-    return run
+    plain = text.rlike(_PLAIN)
+    escaped = text
+    for a, b in _ESCAPES:
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    return F.when(plain, F.sha2(F.concat(F.lit(f'{{"{key}": "'), escaped, F.lit('"}')), 256)).otherwise(run(F.when(~plain, text)))
 
 
 def raw_hash(text: Column) -> Column:
-    return _json_hash("raw")(text)
+    return _json_hash("raw", text)
 
 
 def normalized_hash(text: Column, mode: str = "parity") -> Column:
     """Hash of the normalised text. ``sha2`` has the same equalities, stays in the JVM, and orders differently."""
-    return F.sha2(text, 256) if mode == "sha2" else _json_hash("normalized_utf8_text")(text)
+    return F.sha2(text, 256) if mode == "sha2" else _json_hash("normalized_utf8_text", text)
 
 
 def shingles(text: str, n: int) -> set[str]:

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder all executors share (``spark.checkpoint.dir``; a temporary one only where that is unset)."""
+    """Cut the lineage in the folder all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset a local session gets a temporary folder; on a cluster it is an error, as no executor
+    could read the driver's folder.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodewright-ckpt-"))
     return df.checkpoint(eager=True)
 

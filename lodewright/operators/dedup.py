@@ -5,6 +5,7 @@ Order matters in all three: input rows carry ``ord``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,77 +13,146 @@ from lodewright.config import CONTEST_SOURCE, DEFAULT, Thresholds
 from lodewright.functions.hashing import band_keys, estimated_jaccard, minhash
 from lodewright.operators.base import checkpoint, spread
 
+SETTLED_AT_ONCE = 500_000  # open edges of two ids each that one task settles
 
-def exact_dedup(df: DataFrame, key: str = "normalized_hash", order: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """First row of each hash survives, the others name it in ``duplicate_of``.
 
-    The survivor per hash is an aggregate with map-side combining, so a hash with very many copies does
+def exact_removed(df: DataFrame, key: str = "normalized_hash", order: Column | None = None) -> DataFrame:
+    """``doc_id, source_id, duplicate_of, o`` of every row that is not the first of its hash; needs no text.
+
+    The first per hash is an aggregate with map-side combining, so a hash with very many copies does
     not gather in one task before it is reduced; rows of a null hash are no duplicates of each other.
     """
     order = F.col("ord") if order is None else order
-    # Only ids, hashes and order are shuffled; texts are filtered in place against the losers.
     slim = df.select("doc_id", "source_id", F.col(key).alias("h"), order.alias("o")).where("h is not null")
     first = slim.groupBy("h").agg(F.min(F.struct("o", "doc_id")).alias("first"))
-    lost = slim.join(first, "h").where(F.struct("o", "doc_id") != F.col("first"))
-    removed = lost.select("doc_id", "source_id", F.lit("exact_dedup").alias("stage"), F.array(F.lit("exact_duplicate")).alias("reason_codes"), F.col("first.doc_id").alias("duplicate_of"))
-    return df.join(removed.select("doc_id"), "doc_id", "left_anti").select(*df.columns), removed
+    return slim.join(first, "h").where(F.struct("o", "doc_id") != F.col("first")).select("doc_id", "source_id", F.col("first.doc_id").alias("duplicate_of"), "o")
+
+
+def exact_dedup(df: DataFrame, key: str = "normalized_hash", order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """First row of each hash survives, the others name it in ``duplicate_of``.
+
+    Rows are told apart by id and order together, so rows that share an id do not take each other away. The rows kept
+    are joined once with the losers; the pipeline decides on ids alone and joins texts only at its end.
+    """
+    lost = exact_removed(df, key, order)
+    removed = lost.select("doc_id", "source_id", F.lit("exact_dedup").alias("stage"), F.array(F.lit("exact_duplicate")).alias("reason_codes"), "duplicate_of")
+    at = (F.col("ord") if order is None else order).alias("_o")
+    kept = df.withColumn("_o", at).join(lost.select("doc_id", F.col("o").alias("_o")), ["doc_id", "_o"], "left_anti")
+    return kept.select(*df.columns), removed
+
 
+def with_signature(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """``k, sig``: order key and signature of each document."""
+    return spread(df.select("source_id", "doc_id", "text")).select(F.struct("source_id", "doc_id").alias("k"), minhash(F.col("text"), t.permutations, t.shingle).alias("sig"))
 
-def signatures(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """``k, rep, sig``: the signature of each document, and the first document (by source, id) that has the same one."""
-    sigs = checkpoint(spread(df.select("source_id", "doc_id", "text")).select(F.struct("source_id", "doc_id").alias("k"), minhash(F.col("text"), t.permutations, t.shingle).alias("sig")))
+
+def signatures(sigs: DataFrame) -> DataFrame:
+    """``k, rep, sig``: with the first document (by source, id) that has the same signature."""
     key = (F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2"))
     # Map-side combined, so a signature that a large share of documents has stays small.
     first = sigs.select("k", *key).groupBy("h1", "h2").agg(F.min("k").alias("rep"))
     return checkpoint(sigs.select("k", "sig", *key).join(first, ["h1", "h2"]).select("k", "rep", "sig"))
 
 
-def near_edges(df: DataFrame, t: Thresholds = DEFAULT, sigs: DataFrame | None = None) -> DataFrame:
+def near_edges(df: DataFrame | None, t: Thresholds = DEFAULT, sigs: DataFrame | None = None, hot: int = 1_000) -> DataFrame:
     """Pairs ``a, b`` (``b`` before ``a`` in order of source and id) of estimated similarity of at least the cutoff.
 
     Only documents that are the first of their signature are paired: documents of equal signature have equal
     neighbours. ``band`` is the first band a pair shares. Above a cutoff of 1 - (bands - 1) / permutations no
-    pair is missed, as then fewer positions differ than there are bands.
+    pair is missed, as then fewer positions differ than there are bands. Where the cutoff even forces two shared bands,
+    a bucket of more than ``hot`` documents is not paired as it is but split by each other band: a template that gives very
+    many documents one band costs no square of them.
     """
-    sigs = signatures(df, t) if sigs is None else sigs
+    sigs = signatures(checkpoint(with_signature(df, t))) if sigs is None else sigs
     firsts = sigs.where(F.col("k") == F.col("rep")).select("k", "sig")
-    banded = firsts.select("k", F.posexplode(band_keys(F.col("sig"), t.band_size)).alias("band", "key"))
-    left, right = banded.select(F.col("k").alias("a"), "band", "key"), banded.select(F.col("k").alias("b"), "band", "key")
-    pairs = left.join(right, ["band", "key"]).where(F.col("b") < F.col("a")).groupBy("a", "b").agg(F.min("band").alias("band"))
+    keyed = firsts.select("k", band_keys(F.col("sig"), t.band_size).alias("keys"))
+    n_bands = t.permutations // t.band_size
+    forced = n_bands - int((1 - t.near_cutoff) * t.permutations + 1e-9)
+    pairs = _paired(keyed.select("k", F.posexplode("keys").alias("band", "key")), ["band", "key"])
+    if forced >= 2:
+        rows = checkpoint(keyed.select("k", "keys", F.posexplode("keys").alias("band", "key")))
+        many = checkpoint(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("band", "key"))
+        calm = rows.select("k", "band", "key")
+        if many.take(1):
+            crowd = rows.join(many, ["band", "key"], "left_semi").select("k", "band", "key", F.posexplode("keys").alias("other", "key2")).where("other <> band")
+            calm = calm.join(many, ["band", "key"], "left_anti")
+            pairs = _paired(calm, ["band", "key"]).unionByName(_paired(crowd, ["band", "key", "other", "key2"]))
+        else:
+            pairs = _paired(calm, ["band", "key"])
+    pairs = pairs.select("a", "b").distinct()
     pairs = pairs.join(firsts.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(firsts.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
-    return pairs.withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= t.near_cutoff).select("a", "b", "band", "similarity")
+    near = pairs.withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= t.near_cutoff)
+    # The first band in which all positions are equal.
+    same = F.zip_with("sa", "sb", lambda x, y: x == y)
+    whole = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.forall(F.slice(same, i * t.band_size + 1, t.band_size), lambda x: x))
+    return near.select("a", "b", (F.array_position(whole, F.lit(True)) - 1).cast("int").alias("band"), "similarity")
 
 
-def near_dedup(df: DataFrame, t: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Greedy in order of source and id: a row goes if it is similar to an earlier row that stays.
+def _paired(rows: DataFrame, on: list[str]) -> DataFrame:
+    left, right = rows.select(F.col("k").alias("a"), *on), rows.select(F.col("k").alias("b"), *on)
+    return left.join(right, on).where(F.col("b") < F.col("a")).select("a", "b", "band")
+
 
-    Solved over the (sparse) edges between first documents of a signature, in rounds: rows whose earlier neighbours
-    have all gone stay, rows with an earlier neighbour that stays go. Rounds are as many as the longest
-    undecided chain. Later documents of a signature always go. ``duplicate_of`` is the earlier kept neighbour of
-    the first shared band, then the first in order.
+def near_removed(sigs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """``doc_id, source_id, duplicate_of`` of every document that goes, from ``k, sig``; needs no text.
+
+    Greedy in order of source and id: a row goes if it is similar to an earlier row that stays. Solved over the
+    (sparse) edges between first documents of a signature, in rounds: rows whose earlier neighbours have all gone
+    stay, rows with an earlier neighbour that stays go. Few open edges are settled at once in one bounded task; rounds
+    go on while there are many. Later documents of a signature always go. ``duplicate_of`` is the
+    earlier kept neighbour of the first shared band, then the first in order.
     """
-    sigs = signatures(df, t)
-    edges = checkpoint(near_edges(df, t, sigs))
-    open_edges = edges.select("a", "b")
-    gone = sigs.limit(0).select("k")
-    while open_edges.take(1):
+    sigs = signatures(sigs)
+    edges = checkpoint(near_edges(None, t, sigs))
+    kind = sigs.schema["k"].dataType.simpleString()
+    open_edges, gone = edges.select("a", "b"), None
+    while open_edges.count() > SETTLED_AT_ONCE:
         # b is settled to stay if it has no open earlier neighbour itself.
         stays = open_edges.select(F.col("b").alias("k")).distinct().join(open_edges.select(F.col("a").alias("k")).distinct(), "k", "left_anti")
         out = checkpoint(open_edges.join(stays.withColumnRenamed("k", "b"), "b", "left_semi").select(F.col("a").alias("k")).distinct())
-        gone = gone.unionByName(out)
+        gone = out if gone is None else gone.unionByName(out)
         rest = open_edges.join(out.withColumnRenamed("k", "a"), "a", "left_anti").join(out.withColumnRenamed("k", "b"), "b", "left_anti")
         open_edges = checkpoint(rest)
-    gone = checkpoint(gone)
+    flat = open_edges.select("a.source_id", "a.doc_id", F.col("b.source_id").alias("source_b"), F.col("b.doc_id").alias("doc_b"), F.lit(0).alias("one"))
+    last = flat.groupBy("one").applyInPandas(_settle, sigs.select("k.source_id", "k.doc_id").schema).select(F.struct("source_id", "doc_id").cast(kind).alias("k"))
+    gone = checkpoint(last if gone is None else gone.unionByName(last))
     # Kept neighbours of a signature, in either direction, and its own first document if that stays.
     near = edges.select(F.col("a").alias("rep"), F.col("b").alias("other"), "band").union(edges.select("b", "a", "band"))
     own = sigs.where(F.col("k") == F.col("rep")).select("rep", F.col("rep").alias("other"), F.lit(0).alias("band"))
     near = near.unionByName(own).join(gone.withColumnRenamed("k", "other"), "other", "left_anti")
     lost = sigs.where(F.col("k") != F.col("rep")).select("k", "rep").unionByName(gone.select("k", F.col("k").alias("rep")))
     named = lost.join(near, "rep").where(F.col("other") < F.col("k")).groupBy("k").agg(F.min_by("other", F.struct("band", "other")).alias("b"))
-    removed = named.select(F.col("k.doc_id").alias("doc_id"), F.col("k.source_id").alias("source_id"), F.lit("near_dedup").alias("stage"), F.array(F.lit("near_duplicate")).alias("reason_codes"), F.col("b.doc_id").alias("duplicate_of"))
+    return named.select("k.doc_id", "k.source_id", F.col("b.doc_id").alias("duplicate_of"))
+
+
+def _settle(edges: pd.DataFrame) -> pd.DataFrame:
+    """The greedy rule over a bounded number of edges, in order (that of UTF-8 bytes, as in the JVM)."""
+    key = lambda *k: tuple(b"" if v is None else b"\x01" + v.encode("utf-8", "surrogatepass") if isinstance(v, str) else v for v in k)
+    earlier: dict[tuple, list[tuple]] = {}
+    names: dict[tuple, tuple] = {}
+    for sa, da, sb, db in zip(edges["source_id"], edges["doc_id"], edges["source_b"], edges["doc_b"]):
+        a = key(sa, da)
+        names[a] = (sa, da)
+        earlier.setdefault(a, []).append(key(sb, db))
+    gone: set[tuple] = set()
+    for k in sorted(earlier):
+        if any(b not in gone for b in earlier[k]):
+            gone.add(k)
+    return pd.DataFrame([names[k] for k in gone], columns=["source_id", "doc_id"])
+
+
+def near_dedup(df: DataFrame, t: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """``(kept, removed)`` of ``near_removed``; ids are unique (exact deduplication comes first)."""
+    lost = near_removed(checkpoint(with_signature(df, t)), t)
+    removed = lost.select("doc_id", "source_id", F.lit("near_dedup").alias("stage"), F.array(F.lit("near_duplicate")).alias("reason_codes"), "duplicate_of")
     return df.join(removed.select("doc_id"), "doc_id", "left_anti").select(*df.columns), removed
 
 
+def problem_rank(df: DataFrame, order: tuple[str, ...] = ("normalized_hash", "ord")) -> DataFrame:
+    """Rows of a problem with ``_rn``, their rank in it. A filter above it becomes a group limit, which prunes before the shuffle."""
+    return df.where(F.col("problem_id") != "").withColumn("_rn", F.row_number().over(Window.partitionBy("problem_id").orderBy(*order)))
+
+
 def problem_cap(df: DataFrame, cap: int = 8, order: tuple[str, ...] = ("normalized_hash", "ord")) -> tuple[DataFrame, DataFrame]:
     """Keep ``cap`` rows per problem by hash; rows without a problem are not capped.
 
@@ -90,10 +160,14 @@ def problem_cap(df: DataFrame, cap: int = 8, order: tuple[str, ...] = ("normaliz
     large share of all rows sends ``cap`` rows per task.
     """
     has = F.coalesce(F.col("problem_id") != "", F.lit(False))
-    w = Window.partitionBy("problem_id").orderBy(*order)
-    kept_ids = df.where(has).select("doc_id", "problem_id", *order).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).select("doc_id")
-    kept = df.where(~has).unionByName(df.where(has).join(kept_ids, "doc_id", "left_semi"))
-    removed = df.where(has).join(kept_ids, "doc_id", "left_anti").select("doc_id", "source_id", F.lit("problem_cap").alias("stage"), F.array(F.lit("problem_cap")).alias("reason_codes"), "problem_id")
+    kept_ids = problem_rank(df.select("doc_id", "problem_id", *order), order).where(F.col("_rn") <= cap).select("doc_id", *order)
+    # Rows are told apart by id and order; null hashes count as equal.
+    named = kept_ids.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in order])
+    on = (F.col("doc_id") == F.col("_id")) & (F.col(order[0]).eqNullSafe(F.col(f"_{order[0]}")))
+    for c in order[1:]:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    kept = df.where(~has).unionByName(df.where(has).join(named, on, "left_semi"))
+    removed = df.where(has).join(named, on, "left_anti").select("doc_id", "source_id", F.lit("problem_cap").alias("stage"), F.array(F.lit("problem_cap")).alias("reason_codes"), "problem_id")
     return kept, removed
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodewright.config import CONTEST_SOURCE, DEFAULT, DOCUMENT, MATH_SOURCE, Thresholds
 from lodewright.functions.hashing import normalized_hash, raw_hash
 from lodewright.functions.text import filled, is_binary, is_python3_tag
+from lodewright.operators.base import checkpoint
 
 _EXERCISES = ("jina_textbook", "tiny_python", "spp_30k_verified")
 
@@ -132,6 +133,39 @@ def make_documents(df: DataFrame, source: dict, collection_date: str, t: Thresho
     return docs, removed
 
 
+def normalize(text: Column, is_text: Column | None = None, t: Thresholds = DEFAULT) -> Column:
+    """``struct<text, reason>``: the text as it is, or null with the reason ``not_text`` (null, or ``is_text`` false) or ``binary``."""
+    known = text.isNotNull() if is_text is None else F.coalesce(is_text, F.lit(False)) & text.isNotNull()
+    reason = F.when(~known, "not_text").when(is_binary(text, t.printable_ratio), "binary")
+    return F.struct(F.when(reason.isNull(), text).alias("text"), reason.alias("reason"))
+
+
+def documents_in_memory(spark: SparkSession, rows: list[dict], source: dict, collection_date: str, *, cap: int = 8, t: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """``(documents, removed)`` of rows at hand; ids ``source:number`` count rows after expansion, before empty and binary ones are dropped."""
+    df = spark.createDataFrame([{**r, "row": k} for k, r in enumerate(rows)]) if rows else spark.createDataFrame([], "row bigint, text string")
+    got = number_rows(expand(df, source["source_id"], cap).withColumn("_at", F.struct("row", "item")), "_at", "_n").drop("_at")
+    ident = F.format_string("%s:%08d", F.lit(source["source_id"]), F.col("_n"))
+    got = extract(got.withColumn("doc_id", ident).withColumn("ord", F.col("_n")).drop("_n"), source["source_id"])
+    return make_documents(got, source, collection_date, t)
+
+
+def number_rows(df: DataFrame, order: str | None = None, name: str = "row") -> DataFrame:
+    """Add ``name``: a dense row number. With ``order`` numbers follow that column, else the order of the files.
+
+    Two levels: numbers within partitions, then offsets from the partitions' sizes (one row a partition), so no
+    single task sees all rows.
+    """
+    key = F.col(order) if order else F.monotonically_increasing_id()
+    parts = df.withColumn("_k", key)
+    parts = parts.repartitionByRange(max(1, df.rdd.getNumPartitions()), "_k") if order else parts
+    parts = parts.withColumn("_p", F.spark_partition_id())
+    parts = checkpoint(parts)
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1
+    return parts.join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + within).drop("_p", "_k", "_base")
+
+
 def documents_of(df: DataFrame, source: dict, collection_date: str, *, row: str = "row", cap: int = 8, t: Thresholds = DEFAULT, max_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Expand, extract and construct the documents of one source; ids are ``source:row:item``.
 
@@ -145,11 +179,15 @@ def documents_of(df: DataFrame, source: dict, collection_date: str, *, row: str
     return (docs.orderBy("ord").limit(max_docs) if max_docs is not None else docs), removed
 
 
-def ingest_filter(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contest rows that are known wrong or not Python go; a null ``is_correct`` passes, a null tag is Python."""
+def with_reason(df: DataFrame) -> DataFrame:
+    """Add ``_why``, the reason for which ``ingest_filter`` removes a row, null for rows that stay."""
     tag = F.lower(F.coalesce(F.when(F.col("language_tag") != "", F.col("language_tag")), F.lit("python")))
     why = F.when(F.col("is_correct") == F.lit(False), "incorrect_solution").when(~tag.isin("python", "python3", "py"), "not_python")
-    why = F.when(F.col("source_id") == CONTEST_SOURCE, why)
-    marked = df.withColumn("_why", why)
+    return df.withColumn("_why", F.when(F.col("source_id") == CONTEST_SOURCE, why))
+
+
+def ingest_filter(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contest rows that are known wrong or not Python go; a null ``is_correct`` passes, a null tag is Python."""
+    marked = with_reason(df)
     removed = marked.where("_why is not null").select("doc_id", "source_id", F.lit("ingest").alias("stage"), F.array("_why").alias("reason_codes"))
     return marked.where("_why is null").drop("_why"), removed

@@ -58,6 +58,14 @@ def solutions_per_problem(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where((F.col("source_id") == CONTEST_SOURCE) & (F.col("problem_id") != "")).groupBy("problem_id").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
 
 
+def solutions_summary(per: DataFrame) -> DataFrame:
+    """One row over ``solutions_per_problem``, which has a row per problem and goes to a file of its own."""
+    return per.agg(
+        F.count("*").alias("n_problems"), F.count_if(F.col("after") == 0).alias("n_emptied"), F.coalesce(F.sum("before"), F.lit(0)).alias("before"), F.coalesce(F.sum("after"), F.lit(0)).alias("after"),
+        F.max("before").alias("most_before"), F.max("after").alias("most_after"),
+    )
+
+
 def blocked_sources(inventory: DataFrame) -> DataFrame:
     return inventory.where("status = 'blocked'").select("source_id").orderBy("source_id")
 

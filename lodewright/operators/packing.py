@@ -3,9 +3,10 @@
 Next fit is a fold over the documents in order. It is run in parallel over blocks of consecutive
 documents: a block's effect depends only on how full the open sequence is when the block begins, and
 documents of different starting fill soon agree (after the first overflow they share all later cuts that
-coincide). Each block reports its table from starting fill to (new sequences, final fill); the driver
-composes the tables of the blocks, which gives every block its true start, and the blocks then place
-their documents independently. The result is exactly that of one sequential pass.
+coincide). Each block reports its table from starting fill to (new sequences, final fill). Tables of consecutive
+blocks are composed, in groups, level by level, until few are left; the starts then go down the same levels, which
+gives every block its true start, and the blocks place their documents independently. All of it runs on the
+executors. The result is exactly that of one sequential pass.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewright.config import DEFAULT
-from lodewright.operators.base import ordered_blocks
+from lodewright.operators.base import checkpoint, ordered_blocks
 
 EOS, PAD = 3, 0
 
@@ -74,33 +75,81 @@ def apply_table(table: list[tuple[int, int, int]], fill: int) -> tuple[int, int]
     return closed, (fill + last if closed == 0 else last)
 
 
-def assign(docs: DataFrame, *, n_ctx: int = DEFAULT.n_ctx, order: tuple[str, ...] = ("source_id", "doc_id"), rows_a_block: int = 50_000) -> DataFrame:
+def compose(first: list[tuple[int, int, int]], second: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The table of a block followed by another."""
+    out: list[tuple[int, int, int]] = []
+    for (least, closed, last), top in zip(first, [*[r[0] for r in first[1:]], math.inf]):
+        if closed:
+            more, fill = apply_table(second, last)
+            out.append((least, closed + more, fill))
+            continue
+        # Nothing closed so far: the fill that comes to the second block is that of the start and the first block.
+        for (at, more, end), above in zip(second, [*[r[0] for r in second[1:]], math.inf]):
+            low = max(least, at - last)
+            if low < min(top, above - last):
+                out.append((low, more, end if more else last + end))
+    return [r for i, r in enumerate(out) if not i or r[1:] != out[i - 1][1:] or not r[1]]
+
+
+_TABLE = "block long, rows array<struct<least:int,closed:long,last:long>>"
+_START = "block long, seq long, fill long"
+
+
+def _rows(table: list) -> list[tuple[int, int, int]]:
+    return [(r["least"], r["closed"], r["last"]) if not isinstance(r, tuple) else r for r in table]
+
+
+def _starts(tables: DataFrame, group: int) -> DataFrame:
+    """``block, seq, fill``: sequence and fill at which each block begins, from ``block, rows`` (one row a block)."""
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        whole = [_rows(r) for r in pdf["rows"]]
+        table = whole[0]
+        for t in whole[1:]:
+            table = compose(table, t)
+        return pd.DataFrame({"block": [int(pdf["up"].iat[0])], "rows": [[{"least": a, "closed": b, "last": c} for a, b, c in table]]})
+
+    def spread_out(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        seq, fill = int(pdf["seq"].iat[0]), int(pdf["fill"].iat[0])
+        out = []
+        for block, rows in zip(pdf["block"], pdf["rows"]):
+            out.append((block, seq, fill))
+            closed, fill = apply_table(_rows(rows), fill)
+            seq += closed
+        return pd.DataFrame(out, columns=["block", "seq", "fill"])
+
+    grouped = tables.withColumn("up", F.floor(F.col("block") / group).cast("long"))
+    few = tables.limit(group + 1).count() <= group
+    if few:
+        top = grouped.withColumn("seq", F.lit(0).cast("long")).withColumn("fill", F.lit(0).cast("long")).withColumn("up", F.lit(0).cast("long"))
+    else:
+        above = _starts(checkpoint(grouped.groupBy("up").applyInPandas(merged, _TABLE)), group)
+        top = grouped.join(above.select(F.col("block").alias("up"), "seq", "fill"), "up")
+    return checkpoint(top.groupBy("up").applyInPandas(spread_out, _START))
+
+
+def assign(docs: DataFrame, *, n_ctx: int = DEFAULT.n_ctx, order: tuple[str, ...] = ("source_id", "doc_id"), rows_a_block: int = 50_000, group: int = 256) -> DataFrame:
     """``doc_id, seq_id, offset, n_packed, truncated`` of each document with tokens.
 
-    ``docs``: order columns, ``doc_id`` and ``n_packed0``, the length with its end mark before cutting.
+    ``docs``: order columns, ``doc_id`` and ``n_packed0``, the length with its end mark before cutting. ``group``: tables that
+    are composed in one task.
     """
     slim = docs.select(*dict.fromkeys([*order, "doc_id"]), F.least("n_packed0", F.lit(n_ctx)).cast("int").alias("n"), (F.col("n_packed0") > n_ctx).alias("truncated")).where("n > 0")
     blocks = ordered_blocks(slim, *order, rows_a_block=rows_a_block)
     keys = list(order)
 
     def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf.sort_values(keys)["n"].tolist()
-        t = block_table(lengths, n_ctx)
-        return pd.DataFrame({"block": [int(pdf["_block"].iat[0])] * len(t), "least": [r[0] for r in t], "closed": [r[1] for r in t], "last": [r[2] for r in t]})
-
-    rows = blocks.groupBy("_block").applyInPandas(tables, "block int, least int, closed long, last long").collect()  # a few rows a block
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for r in rows:
-        by.setdefault(r["block"], []).append((r["least"], r["closed"], r["last"]))
-    starts, seq, fill = {}, 0, 0
-    for b in sorted(by):
-        starts[b] = (seq, fill)
-        closed, fill = apply_table(sorted(by[b]), fill)
-        seq += closed
+        t = block_table(pdf.sort_values(keys, na_position="first")["n"].tolist(), n_ctx)
+        return pd.DataFrame({"block": [int(pdf["_block"].iat[0])], "rows": [[{"least": a, "closed": b, "last": c} for a, b, c in t]]})
+
+    starts = _starts(checkpoint(blocks.groupBy("_block").applyInPandas(tables, _TABLE)), group)
+    begun = blocks.join(starts.select(F.col("block").cast("int").alias("_block"), F.col("seq").alias("_seq"), F.col("fill").alias("_fill")), "_block")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(keys)
-        s, f = starts[int(pdf["_block"].iat[0])]
+        pdf = pdf.sort_values(keys, na_position="first")
+        s, f = int(pdf["_seq"].iat[0]), int(pdf["_fill"].iat[0])
         seqs, offsets = [], []
         for n in pdf["n"].tolist():
             if f + n > n_ctx:
@@ -111,7 +160,7 @@ def assign(docs: DataFrame, *, n_ctx: int = DEFAULT.n_ctx, order: tuple[str, ...
         return pd.DataFrame({"doc_id": pdf["doc_id"].tolist(), "seq_id": seqs, "offset": offsets, "n_packed": pdf["n"].tolist(), "truncated": pdf["truncated"].tolist()})
 
     kind = dict(slim.dtypes)["doc_id"]
-    return blocks.groupBy("_block").applyInPandas(place, f"doc_id {kind}, seq_id bigint, offset int, n_packed int, truncated boolean")
+    return begun.groupBy("_block").applyInPandas(place, f"doc_id {kind}, seq_id bigint, offset int, n_packed int, truncated boolean")
 
 
 def sequences(docs: DataFrame, *, n_ctx: int = DEFAULT.n_ctx, order: tuple[str, ...] = ("source_id", "doc_id")) -> DataFrame:

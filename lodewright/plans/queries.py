@@ -25,11 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents table in the pipeline's schema; ids become ``source:number``, hashes are computed anew where used."""
+    """The documents table in the pipeline's schema; ids become ``source:number``, hashes are those of the contract, computed anew."""
     d = table(spark, sf, "documents")
     names = {
         "doc_id": F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), "source_id": F.col("source"), "language": F.col("lang"), "ord": F.col("doc_id"),
-        "normalized_hash": F.sha2("text", 256), "raw_hash": F.sha2("text", 256),
+        "normalized_hash": normalized_hash(F.col("text")), "raw_hash": raw_hash(F.col("text")),
     }
     return d.select(*[(names.get(f.name, F.col(f.name) if f.name in d.columns else F.lit(None))).cast(f.dataType).alias(f.name) for f in DOCUMENT.fields])
 
@@ -107,7 +107,7 @@ def extract_math(spark: SparkSession, sf: str) -> DataFrame:
 
 def make_documents(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "corpus").where("text is not null").select("row_id", "text", "score")
-    docs, _ = ingest.documents_of(c, {"source_id": "web", "domain": "stem", "license": "mit"}, "2031-01-01", row="row_id", t=DEFAULT.with_(hash_mode="sha2"))
+    docs, _ = ingest.documents_of(c, {"source_id": "web", "domain": "stem", "license": "mit"}, "2031-01-01", row="row_id")
     return docs.select("doc_id", "source_id", "language", "domain", "quality_score", "contamination_risk", "normalized_hash", "status", "text")
 
 
@@ -146,6 +146,10 @@ def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.contest_order(_with_contests(documents(spark, sf))).select("doc_id", F.col("ord.c").alias("is_contest"), F.col("ord.p").alias("grouped"), F.col("ord.f").alias("first_ord"), F.col("ord.h").alias("hash"))
 
 
+def normalize_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", ingest.normalize(F.col("text"))["reason"].alias("reason"))
+
+
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Quality codes but for the syntax test, which SQL does not have."""
     d = documents(spark, sf).withColumn("_parses", F.lit(True))
@@ -167,7 +171,8 @@ def highsignal_removed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def syntax_check(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "corpus").where("generated_solution is not null and language_tag is not null").select("row_id", "generated_solution")
+    """Whether the files whose tag means Python parse."""
+    c = table(spark, sf, "corpus").where("generated_solution is not null").where(tx.is_python3_tag(F.col("language_tag"))).select("row_id", "generated_solution")
     return spread(c).select("row_id", python_parses(F.col("generated_solution")).alias("parses"))
 
 
@@ -312,7 +317,7 @@ def stage_funnel(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_binary, content_hashes, hash_equality, python3_tags, contract_missing, license_inventory, inventory_backfill, manifest_shards, ingest_filter, expand_contests, expand_parallel_solutions,
+        normalize_binary, normalize_reasons, content_hashes, hash_equality, python3_tags, contract_missing, license_inventory, inventory_backfill, manifest_shards, ingest_filter, expand_contests, expand_parallel_solutions,
         expand_solution_lists, extract_math, make_documents, exact_dedup, exact_dup_removed, minhash_signatures, near_edges, near_dedup, problem_cap, canonical_order, quality_rules, quality_removed, highsignal_rules,
         highsignal_removed, syntax_check, token_ngrams, reference_index, contamination_hits, contamination_report, line_multiset, bpe_pair_counts, bpe_best_pair, tokenize_ids, tokenize_counts, vocabulary_table,
         vocabulary_metrics, synthetic_corpus, packing_assign, packing_stats, packing_shards, holdout_split, packed_sequences, packed_validation, mixture_cap, domain_tokens, domain_deviation, tokens_per_source,

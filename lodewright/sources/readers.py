@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodewright.config import DEFAULT, Thresholds
 from lodewright.operators import ingest
-from lodewright.operators.base import checkpoint
 from lodewright.operators.license import inventory
 
 REFERENCE_FILES = ("humaneval.txt", "mbpp.txt")
@@ -31,35 +30,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def read_source(spark: SparkSession, source: dict, root: str, max_rows: int | None = None) -> tuple[DataFrame | None, str | None]:
-    """``(rows, error)`` of a source's pre-staged files under ``root``: all parquet, or one JSONL file. Errors are returned, not raised."""
+    """``(rows, error)`` of a source's pre-staged files under ``root``: all parquet, or one JSONL file, or what its ``format`` names. Errors are returned, not raised."""
     files = [str(Path(root) / f) for f in source.get("files") or source.get("hf_files") or []]
     try:
         if files and all(f.endswith(".parquet") for f in files):
             return read_parquet(spark, files, source.get("columns") or source.get("hf_columns"), max_rows), None
         if len(files) == 1 and files[0].endswith(".jsonl"):
             return read_jsonl(spark, files[0], max_rows=max_rows), None
-        return None, "no parquet files and not a single jsonl file"
+        kind = source.get("format")
+        if files and kind:  # any other format that Spark reads
+            df = spark.read.format(kind).options(**source.get("options", {})).load(files)
+            return (df.limit(max_rows) if max_rows is not None else df), None
+        return None, "no parquet files, not a single jsonl file and no format named"
     except Exception as e:  # noqa: BLE001  missing or unreadable files
         return None, f"{type(e).__name__}: {e}".splitlines()[0]
 
 
-def number_rows(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Add ``row``: a dense row number. With ``order`` numbers follow that column, else the order of the files.
-
-    Two levels: numbers within partitions, then offsets from the partitions' sizes (one row a partition), so no
-    single task sees all rows.
-    """
-    key = F.col(order) if order else F.monotonically_increasing_id()
-    parts = df.withColumn("_k", key)
-    parts = parts.repartitionByRange(max(1, df.rdd.getNumPartitions()), "_k") if order else parts
-    parts = parts.withColumn("_p", F.spark_partition_id())
-    parts = checkpoint(parts)
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1
-    return parts.join(F.broadcast(base), "_p").withColumn("row", F.col("_base") + within).drop("_p", "_k", "_base")
-
-
 def collect_documents(spark: SparkSession, source: dict, root: str, collection_date: str, *, cap: int = 8, max_docs: int | None = None, t: Thresholds = DEFAULT) -> tuple[DataFrame | None, DataFrame | None, str | None]:
     """``(documents, removed, error)`` of an admitted source. Sources that are rejected, not verified or without files give an error."""
     if source.get("decision") == "reject" or source.get("identity_status") != "verified":
@@ -67,14 +53,14 @@ def collect_documents(spark: SparkSession, source: dict, root: str, collection_d
     rows, error = read_source(spark, source, root)
     if error is not None:
         return None, None, error
-    docs, removed = ingest.documents_of(number_rows(rows), source, collection_date, cap=cap, t=t, max_docs=max_docs)
+    docs, removed = ingest.documents_of(ingest.number_rows(rows), source, collection_date, cap=cap, t=t, max_docs=max_docs)
     return docs, removed, None
 
 
 def read_fixture(spark: SparkSession, path: str) -> DataFrame:
     """Heterogeneous JSONL rows with all known columns, and ``row``, the line's number."""
     kinds = {"source_id": "string", "text": "string", "problem": "string", "generated_solution": "string", "problem_id": "string", "is_correct": "boolean", "language_tag": "string", "score": "double", "solution": "string", "id": "string"}
-    return number_rows(spark.read.schema(", ".join(f"{k} {v}" for k, v in kinds.items())).json(path))
+    return ingest.number_rows(spark.read.schema(", ".join(f"{k} {v}" for k, v in kinds.items())).json(path))
 
 
 def read_references(spark: SparkSession, directory: str, names: tuple[str, ...] = REFERENCE_FILES, first_ord: int = 0) -> tuple[DataFrame, list[str]]:
@@ -98,8 +84,8 @@ def reference_text(df: DataFrame, fields: list[str], order: str) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "\n\n").alias("text"))
 
 
-def load_registry(path: str) -> dict:
-    """Source registry from JSON, or YAML where that parser is installed; must be a mapping with ``sources``."""
+def load_mapping(path: str) -> dict:
+    """A mapping from a JSON file, or from YAML where that parser is installed."""
     raw = Path(path).read_text(encoding="utf-8")
     if path.endswith((".yaml", ".yml")):
         try:
@@ -109,7 +95,15 @@ def load_registry(path: str) -> dict:
         data = yaml.safe_load(raw)
     else:
         data = json.loads(raw)
-    if not isinstance(data, dict) or not isinstance(data.get("sources"), list):
+    if not isinstance(data, dict):
+        raise ValueError(f"{path}: not a mapping")
+    return data
+
+
+def load_registry(path: str) -> dict:
+    """Source registry: a mapping with ``sources``."""
+    data = load_mapping(path)
+    if not isinstance(data.get("sources"), list):
         raise ValueError(f"{path}: a registry is a mapping with a list of sources")
     return data
 

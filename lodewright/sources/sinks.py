@@ -38,6 +38,18 @@ def write_json(path: str | Path, payload: object) -> Path:
     return p
 
 
+def write_contamination(path: str | Path, head: dict, hits: DataFrame) -> Path:
+    """The contamination report: ``head`` and the list of hits, which is streamed through the driver and never held there."""
+    p = Path(path)
+    p.parent.mkdir(parents=True, exist_ok=True)
+    with p.open("w", encoding="utf-8") as f:
+        f.write("".join(f"{'{' if not k else ', '}{json.dumps(n)}: {json.dumps(head[n], default=str)}" for k, n in enumerate(sorted(head))) + (', "hits": [' if head else '{"hits": ['))
+        for k, r in enumerate(hits.orderBy("doc_id").toLocalIterator(prefetchPartitions=True)):
+            f.write((",\n" if k else "\n") + json.dumps(r.asDict(recursive=True), sort_keys=True, default=str))
+        f.write("\n]}\n")
+    return p
+
+
 def sha256_file(path: str | Path) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:
@@ -76,14 +88,15 @@ def corpus_identity(directory: str | Path) -> str:
     return hashlib.sha256("".join(f"{sha256_file(root / n)}  {n}\n" for n in AUDIT_FILES).encode()).hexdigest()
 
 
-def write_audit(directory: str | Path, *, inventory: DataFrame, removed: DataFrame, contamination: dict, metrics: dict, mixture: dict, freeze: bool = False) -> Path:
+def write_audit(directory: str | Path, *, inventory: DataFrame, removed: DataFrame, contamination: dict, hits: DataFrame, metrics: dict, mixture: dict, freeze: bool = False) -> Path:
     """The audit bundle with its sums. A frozen folder is refused before anything is written."""
     root = Path(directory)
     if (root / "FROZEN_PRETRAIN.json").exists():
         raise FileExistsError(f"{root} is frozen")
     write_jsonl_file(inventory, root / AUDIT_FILES[0], ["source_id"])
     write_jsonl_file(removed, root / AUDIT_FILES[1], ["stage", "source_id", "doc_id"])
-    for name, payload in zip(AUDIT_FILES[2:], (contamination, metrics, mixture)):
+    write_contamination(root / AUDIT_FILES[2], contamination, hits)
+    for name, payload in zip(AUDIT_FILES[3:], (metrics, mixture)):
         write_json(root / name, payload)
     write_sums(root, list(AUDIT_FILES))
     if freeze:

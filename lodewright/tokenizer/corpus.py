@@ -65,19 +65,6 @@ def evaluation(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, t, k) for k, (n, t) in enumerate(EVALUATION.items())], "name string, text string, ord int")
 
 
-def evaluation_text() -> str:
-    """All evaluation texts, each ending in a line end."""
-    return "".join(t + "\n" if t and not t.endswith("\n") else t for t in EVALUATION.values())
-
-
-def python_texts() -> list[str]:
-    return [t for n, t in EVALUATION.items() if n.startswith("python/")]
-
-
-def unicode_texts() -> list[str]:
-    return [t for n, t in EVALUATION.items() if n.startswith(("math/", "stem/")) or "unicode" in n]
-
-
 def synthetic(i: int) -> str:
     """Training text number ``i``; a function of the number alone."""
     x = f"x_{i % 17}"
@@ -112,3 +99,9 @@ def corpus_hash(texts: list[str]) -> str:
         raw = t.encode()
         h.update(len(raw).to_bytes(8, "little") + raw)
     return h.hexdigest()
+
+
+def bundle(extra_lines: int = 4000) -> dict:
+    """The whole fixed corpus with its hashes: ``version, evaluation, training, evaluation_hash, training_hash``."""
+    texts = training(extra_lines)
+    return {"version": CORPUS_VERSION, "evaluation": list(EVALUATION.items()), "training": texts, "evaluation_hash": corpus_hash(list(EVALUATION.values())), "training_hash": corpus_hash(texts)}

@@ -11,8 +11,10 @@ from pathlib import Path
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lodewright.operators.base import spread
 
@@ -147,3 +149,13 @@ def count_column(df: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id
     """``id_col, token_count``: measured sizes (without an end mark)."""
     src = spread(df.select(id_col, text_col))
     return src.mapInArrow(_encode(vocabulary, eos, True), f"{id_col} {src.schema[0].dataType.simpleString()}, token_count int")
+
+
+def token_count(text: Column, vocabulary: Vocabulary) -> Column:
+    """Number of ids of a text (without an end mark) as a column, so that it shares a pass with other Arrow UDFs."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(vocabulary.encode(t or "")))
+
+    return run(text)

@@ -57,7 +57,8 @@ def freeze(directory: str | Path, vocabulary: Vocabulary, reports: list[dict], e
     for r in reports:
         write_json(root / f"candidate_{r['name']}.json", r)
     write_sums(root)
-    mark = {"fingerprint": vocabulary.fingerprint, "extra_lines": extra_lines, "evaluation_hash": corpus.corpus_hash(list(corpus.EVALUATION.values())), "training_hash": corpus.corpus_hash(corpus.training(extra_lines))}
+    fixed = corpus.bundle(extra_lines)
+    mark = {"fingerprint": vocabulary.fingerprint, "extra_lines": extra_lines, "evaluation_hash": fixed["evaluation_hash"], "training_hash": fixed["training_hash"]}
     return write_json(root / "FROZEN.json", mark)
 
 

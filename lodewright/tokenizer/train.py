@@ -16,16 +16,27 @@ from lodewright.tokenizer.model import FIRST_BYTE_ID, FIRST_MERGE_ID, Vocabulary
 
 # Pieces the code-aware vocabulary always holds, in this order (repeats keep a slot).
 CODE_KEYWORDS = (
-    "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
-)
-CODE_OPERATORS = "== != <= >= // ** -> := += -= *= /= %= &= |= ^= //= **= << >> ..."
+    "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while", "with", "yield",
+)
+CODE_OPERATORS = ("==", "!=", "<=", ">=", "//", "**", "->", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "//=", "**=", "<<", ">>", "...")
 CODE_EXTRAS = (
     "    ", "\t", "\n", "\n    ", "import ", "from ", "def ", "class ", "return ", "self.", "None", "True", "False", "__init__", "__name__", "print(", "range(", "len(", "typing", "Optional", "List", "Dict",
 )
 
 
 def code_pieces() -> list[bytes]:
-    return [p.encode() for p in (*CODE_KEYWORDS.split(), *CODE_OPERATORS.split(), *CODE_EXTRAS)]
+    return [p.encode() for p in (*CODE_KEYWORDS, *CODE_OPERATORS, *CODE_EXTRAS)]
+
+
+def seeded_bytes(data: bytes, pieces: list[bytes]) -> list[int]:
+    """Byte ids of a text read piece by piece. A piece enters training as its bytes, so the ids are those of the bytes, whatever the pieces."""
+    known = sorted({p for p in pieces if p}, key=len, reverse=True)
+    ids, at = [], 0
+    while at < len(data):
+        piece = next((p for p in known if data.startswith(p, at)), data[at : at + 1])
+        ids += [FIRST_BYTE_ID + b for b in piece]
+        at += len(piece)
+    return ids
 
 
 def line_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:

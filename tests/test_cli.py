@@ -46,23 +46,42 @@ def test_build_and_verify(spark, tmp_path):
     m = json.loads((tmp_path / "a" / "data_pipeline_metrics.json").read_text())
     assert m["mixture"]["math_raw_estimate_vs_plan"]["gap"] == 2 and m["blocked_sources"] == ["closed"] and m["packing"]["n_sequences"] >= 1
     assert cli.main(["verify", str(tmp_path / "a")]) == 0
+    report = json.loads((tmp_path / "a" / "contamination_report.json").read_text())
+    assert report["n_hits"] == len(report["hits"]) > 0
+    assert any((tmp_path / "a" / "solutions_per_problem").glob("*.json"))
+    body = json.loads((tmp_path / "a" / "IDENTITY.json").read_text())
+    with pytest.raises(ValueError, match="frozen"):
+        run.check_prerequisites(tmp_path / "a", body["tokenizer_fingerprint"])
     with pytest.raises(FileExistsError):
         cli.main([*args, "--out", str(tmp_path / "a")])
     assert cli.main([*args, "--out", str(tmp_path / "b")]) == 0
     for name in ("data_manifest.jsonl", "dedup_manifest.jsonl", "contamination_report.json", "mixture_summary.json"):
         assert sinks.sha256_file(tmp_path / "a" / name) == sinks.sha256_file(tmp_path / "b" / name)
+    assert run.check_prerequisites(tmp_path / "b", body["tokenizer_fingerprint"], body["total"]) == body
+    with pytest.raises(ValueError, match="vocabulary"):
+        run.check_prerequisites(tmp_path / "b", "other")
     (tmp_path / "b" / "mixture_summary.json").write_text('{"actual": {"python": 1, "math": 0, "stem": 0, "total": 2}}')
     assert cli.main(["verify", str(tmp_path / "b")]) == 1
 
 
-def test_run_records():
-    assert run.set_seed(7) == 7
-    with pytest.raises(TypeError):
-        run.set_seed("7")
-    assert {"python", "spark", "seed"} <= set(run.environment(7))
+def test_run_records(spark, tmp_path):
+    assert run.generator(7).random() == run.generator(7).random()
+    for bad in ("7", True):
+        with pytest.raises(TypeError):
+            run.generator(bad)
+    record = run.environment(spark, 7, "abc")
+    assert (record["seed"], record["revision"], record["spark"]) == (7, "abc", spark.version) and record["plan"]["spark.sql.session.timeZone"] == "UTC"
     good = {"project": "x", "python": {"requires": ">=3.10"}, "reproducibility": {"seed": 1}, "config": {"identity": "a"}}
     assert run.check_config(good) == []
-    assert run.check_config({"project": " ", "python": {}, "reproducibility": {"seed": "1"}}) == ["missing config", "project must be a text", "python.requires is missing", "reproducibility.seed must be an integer"]
+    bad = {"project": " ", "python": {}, "reproducibility": {"seed": "1"}}
+    assert run.check_config(bad) == ["project is no usable str", "missing python.requires", "reproducibility.seed is no usable int", "missing config.identity"]
+    assert run.check_config(good | {"config": {"identity": "a", "frozen": True}}) == ["config.frozen must not be set before a run"]
+    (tmp_path / "c.json").write_text(json.dumps(good))
+    assert run.load_config(str(tmp_path / "c.json")) == good
+    (tmp_path / "c.json").write_text(json.dumps(bad))
+    with pytest.raises(ValueError):
+        run.load_config(str(tmp_path / "c.json"))
+    assert run.load_config(str(tmp_path / "c.json"), check=False) == bad
 
 
 def test_batches_and_losses(spark):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodewright.config import DEFAULT, DOCUMENT
 from lodewright.functions import text as tx
-from lodewright.functions.hashing import estimated_jaccard, minhash, minhash_values, normalized_hash
-from lodewright.operators import contamination, dedup, ingest, license, metrics, mixture, packing, quality
+from lodewright.functions.hashing import estimated_jaccard, fingerprint, minhash, minhash_values, normalized_hash
+from lodewright.operators import base, contamination, dedup, ingest, license, metrics, mixture, packing, quality
 from lodewright.operators.packing import apply_table, block_table
 
 DOC = {f.name: None for f in DOCUMENT.fields}
@@ -44,6 +44,42 @@ def test_exact_dedup_keeps_the_first_and_names_it(spark):
     assert {(r.doc_id, r.duplicate_of) for r in removed.collect()} == {("d002", "d000"), ("d005", "d000")}
 
 
+def test_exact_dedup_tells_rows_of_one_id_apart(spark):
+    kept, removed = dedup.exact_dedup(docs(spark, [{"doc_id": "x", "normalized_hash": h} for h in ("a", "a", "b")]))
+    assert [(r.doc_id, r.normalized_hash) for r in kept.orderBy("ord").collect()] == [("x", "a"), ("x", "b")] and removed.count() == 1
+
+
+def test_content_hash_in_the_jvm_and_in_python_is_one(spark):
+    texts = ["plain", 'quote " back \\ slash', "\n\r\t\b\f", "", "\x7f", "\x00", "\u00e9 \U0001f600", "\x1b", "a" * 5_000, None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(normalized_hash(F.col("t"))).collect()]
+    assert got == [None if t is None else fingerprint({"normalized_utf8_text": t}) for t in texts]
+
+
+def test_crowded_bands_are_split_without_loss(spark):
+    rng = random.Random(3)
+    head = " ".join(f"template{i}" for i in range(30))
+    rows = [{"text": head + " " + " ".join(f"{rng.choice('abcdef')}{rng.randint(0, 3)}" for _ in range(12))} for _ in range(60)]
+    df = docs(spark, rows)
+    sigs = dedup.signatures(dedup.with_signature(df))
+    whole, split = ({(r.a.doc_id, r.b.doc_id, r.band, r.similarity) for r in dedup.near_edges(None, sigs=sigs, hot=n).collect()} for n in (10**9, 5))
+    assert whole and split == whole
+
+
+def test_rounds_of_near_dedup_equal_one_task(spark, monkeypatch):
+    rng = random.Random(8)
+    words = " ".join(f"word{i}" for i in range(60)).split()
+    rows = []
+    for i in range(40):
+        t = words[:]
+        for _ in range(i % 7):
+            t[rng.randrange(60)] = f"new{rng.randint(0, 99)}"
+        rows.append({"text": " ".join(t)})
+    sigs = dedup.with_signature(docs(spark, rows))
+    at_once = {tuple(r) for r in dedup.near_removed(sigs).collect()}
+    monkeypatch.setattr(dedup, "SETTLED_AT_ONCE", 0)
+    assert at_once and {tuple(r) for r in dedup.near_removed(sigs).collect()} == at_once
+
+
 def test_minhash_estimates_similarity(spark):
     a, b = "the quick brown fox jumps over the lazy dog " * 3, "the quick brown fox jumps over the lazy cat " * 3
     row = spark.createDataFrame([(a, b, "")], "a string, b string, e string").select(estimated_jaccard(minhash(F.col("a")), minhash(F.col("b"))), estimated_jaccard(minhash(F.col("a")), minhash(F.col("a"))), minhash(F.col("e"))).first()
@@ -67,10 +103,10 @@ def greedy(rows, cutoff):
 
 def test_near_dedup_is_greedy_in_order(spark):
     rng = random.Random(5)
-    base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "stone", "river", "cloud"]) + str(rng.randint(0, 99)) for _ in range(40)) for _ in range(6)]
+    start = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "stone", "river", "cloud"]) + str(rng.randint(0, 99)) for _ in range(40)) for _ in range(6)]
     rows = []
     for i in range(40):
-        t = base[i % 6].split()
+        t = start[i % 6].split()
         for _ in range(rng.randint(0, 6)):
             t[rng.randrange(len(t))] = f"new{rng.randint(0, 999)}"
         rows.append((f"d{i:03}", f"s{i % 3}", " ".join(t)))
@@ -129,6 +165,17 @@ def test_contamination(spark):
     assert kept.count() == 4 and {r.contamination_risk for r in kept.collect()} == {"clear"}
 
 
+def test_contamination_by_the_filter_of_a_large_index(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"t{rng.randint(0, 9_999)}" for _ in range(n))
+    refs = [(f"r{i}", i, text(40)) for i in range(20)]
+    rows = [{"text": text(20) + " " + " ".join(refs[i][2].split()[3:20]) if i % 3 == 0 else text(50)} for i in range(20)] + [{"text": None}]
+    frame = spark.createDataFrame(refs, "ref_id string, ref_ord bigint, text string")
+    small = {tuple(r) for r in contamination.hits(docs(spark, rows), frame).collect()}
+    monkeypatch.setattr(contamination, "MAX_BROADCAST_GRAMS", 10)
+    assert len(small) == 7 and {tuple(r) for r in contamination.hits(docs(spark, rows), frame).collect()} == small
+
+
 def test_license_gate(spark):
     rows = [("a", "mit", "verified", None), ("b", "mit", "verified", "reject"), ("c", None, "verified", None), ("d", "gpl", "verified", None), ("e", "mit", "unresolved", None)]
     inv = license.inventory(spark.createDataFrame(rows, "source_id string, license string, identity_status string, decision string")).collect()
@@ -149,6 +196,36 @@ def test_parallel_arrays_stop_at_the_shorter(spark):
     assert [(r.solution, r.problem_id) for r in got] == [("a", "dm:n")]
 
 
+def test_rows_in_memory_are_numbered_after_expansion(spark):
+    source = {"source_id": "codecontests_plus", "domain": "python"}
+    subs = lambda *codes: [{"language": "python3", "code": c} for c in codes]
+    rows = [{"id": "p", "title": "t", "description": "d", "correct_submissions": subs("a = 1", "b = 2")}, {"id": "q", "title": "t", "description": "d", "correct_submissions": subs("c = 3")}]
+    got, removed = ingest.documents_in_memory(spark, rows, source, "2026-01-01")
+    assert [(r.doc_id, r.solution) for r in got.orderBy("ord").collect()] == [("codecontests_plus:00000000", "a = 1"), ("codecontests_plus:00000001", "b = 2"), ("codecontests_plus:00000002", "c = 3")]
+    got, removed = ingest.documents_in_memory(spark, [{"text": "one", "score": 2.0}, {"text": "", "score": None}, {"text": "b\x00", "score": 1.0}, {"text": "two", "score": 3.0}], {"source_id": "web", "domain": "stem"}, "2026-01-01")
+    assert [(r.doc_id, r.quality_score) for r in got.orderBy("ord").collect()] == [("web:00000000", 2.0), ("web:00000003", 3.0)] and [r.doc_id for r in removed.collect()] == ["web:00000002"]
+    assert ingest.documents_in_memory(spark, [], {"source_id": "web", "domain": "stem"}, "2026-01-01")[0].count() == 0
+
+
+def test_normalize_reasons(spark):
+    df = spark.createDataFrame([("a", True), ("b\x00", True), (None, True), ("c", False), ("", True)], "t string, is_text boolean")
+    assert [tuple(r[0]) for r in df.select(ingest.normalize(F.col("t"), F.col("is_text"))).collect()] == [("a", None), (None, "binary"), (None, "not_text"), (None, "not_text"), ("", None)]
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Frame:
+        class sparkSession:  # noqa: N801
+            sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        base.checkpoint(Frame())
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_block_tables_compose_to_next_fit(seed):
     rng = random.Random(seed)
@@ -166,6 +243,10 @@ def test_block_tables_compose_to_next_fit(seed):
             c, f = apply_table(block_table(lengths[a:b], cap), f)
             s += c
         assert (s, f) == (seq, fill)
+        whole = [(0, 0, 0)]
+        for a, b in zip([0, *cuts], [*cuts, len(lengths)]):
+            whole = packing.compose(whole, block_table(lengths[a:b], cap))
+        assert [apply_table(whole, f) for f in range(cap + 1)] == [apply_table(block_table(lengths, cap), f) for f in range(cap + 1)]
 
 
 def test_packing_in_many_blocks(spark):
@@ -187,6 +268,7 @@ def test_packing_in_many_blocks(spark):
     assert got == seqs
     slim = df.select("source_id", "doc_id", packing._packed_length("token_ids").alias("n_packed0"))
     placed = packing.assign(slim, n_ctx=flat, rows_a_block=20)
+    assert {tuple(r) for r in packing.assign(slim, n_ctx=flat, rows_a_block=20, group=2).collect()} == {tuple(r) for r in placed.collect()}
     assert placed.agg(F.max("seq_id")).first()[0] + 1 == len(seqs)
     assert packing.validate(packing.sequences(df, n_ctx=flat)).first().n_out_of_range == 0
 
@@ -200,8 +282,9 @@ def test_mixture_cap_skips_what_does_not_fit(spark):
         if d in used and used[d] + n <= targets[d]:
             used[d] += n
             want.add(i)
-    kept, removed = mixture.mixture_cap(df, targets, rows_a_block=30)
-    assert {r.doc_id for r in kept.collect()} == want and removed.count() == 200 - len(want)
+    for at_once in (500_000, 0):
+        kept, removed = mixture.mixture_cap(df, targets, rows_a_block=30, at_once=at_once)
+        assert {r.doc_id for r in kept.collect()} == want and removed.count() == 200 - len(want)
 
 
 def test_metrics_are_safe_for_nothing(spark):

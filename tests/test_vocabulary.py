@@ -120,9 +120,34 @@ def test_audit_bundle(spark, tmp_path):
     inv = spark.createDataFrame([("a", 1)], "source_id string, token_count int")
     rem = spark.createDataFrame([("s", "a", "d", ["x"])], "stage string, source_id string, doc_id string, reason_codes array<string>")
     mix = {"actual": {"python": 1, "math": 2, "total": 3}}
-    sinks.write_audit(tmp_path / "m", inventory=inv, removed=rem, contamination={}, metrics={}, mixture=mix, freeze=True)
+    sinks.write_audit(tmp_path / "m", inventory=inv, removed=rem, contamination={}, hits=rem, metrics={}, mixture=mix, freeze=True)
     assert sinks.validate_audit(tmp_path / "m") == []
     with pytest.raises(FileExistsError):
-        sinks.write_audit(tmp_path / "m", inventory=inv, removed=rem, contamination={}, metrics={}, mixture=mix)
+        sinks.write_audit(tmp_path / "m", inventory=inv, removed=rem, contamination={}, hits=rem, metrics={}, mixture=mix)
     table = sinks.sums_table(spark.read.format("binaryFile").load(str(tmp_path / "m" / "data_manifest.jsonl")))
     assert table.first().sha256 == sinks.sha256_file(tmp_path / "m" / "data_manifest.jsonl")
+
+
+def test_merge_by_rank_follows_the_priorities():
+    assert train.merge_by_rank([1, 2, 3, 1, 2], [[2, 3, 10], [1, 2, 11]]) == [1, 10, 11]
+    assert train.merge_by_rank([5], []) == [5] and train.merge_by_rank([], []) == []
+
+
+def test_seed_pieces_keep_the_bytes():
+    text = "def f(): return self.x".encode()
+    assert train.seeded_bytes(text, train.code_pieces()) == train.seeded_bytes(text, []) == [b + 4 for b in text]
+    assert (len(train.CODE_KEYWORDS), len(train.CODE_OPERATORS), len(train.CODE_EXTRAS)) == (35, 21, 22)
+
+
+def test_corpus_bundle():
+    b = corpus.bundle(10)
+    assert len(b["training"]) == len(corpus.EVALUATION) + 10 and b["evaluation_hash"] != b["training_hash"] == corpus.corpus_hash(corpus.training(10))
+
+
+def test_reference_text_and_other_formats(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", None), (1, "a", 5)], "n int, x string, y int")
+    assert readers.reference_text(df, ["x", "y"], "n").first().text == "a\n5\n\nb"
+    df.write.orc(str(tmp_path / "t.orc"))
+    rows, error = readers.read_source(spark, {"files": ["t.orc"], "format": "orc"}, str(tmp_path))
+    assert error is None and rows.count() == 2
+    assert readers.read_source(spark, {"files": ["t.orc"]}, str(tmp_path))[1]
