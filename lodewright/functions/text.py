@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,25 @@ ALGO_HINT = r"(?iu)\b(sort|search|graph|dfs|bfs|dp|dynamic programming|greedy|tr
 MATH_HINT = r"(?iu)(\\frac|\\sum|\\int|prove that|q\.e\.d|therefore)"
 
 
+def _needles(pattern: str) -> list[str]:
+    """What a text must hold for one of the pattern's alternatives to match: their literal beginnings."""
+    body = pattern[pattern.index("(", 1 if pattern.startswith("(?") else 0) + 1 : pattern.rindex(")")] if "|" in pattern else pattern
+    first = lambda alt: re.split(r"\\s\*|\\b|\\\(", alt.removeprefix("\\b"))[0]
+    return [first(alt).replace("\\.", ".").replace("\\\\", "\\") for alt in body.split("|")]
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Whether one of the fixed patterns of words is found. The regular expression is asked only where the text holds one of its words, which is a fast search."""
+    hay = F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik")) if pattern.startswith("(?iu)") else text
+    some = functools.reduce(lambda a, b: a | b, [F.contains(hay, F.lit(n.lower() if hay is not text else n)) for n in _needles(pattern)])
+    return F.when(some, text.rlike(pattern)).otherwise(F.lit(False))
+
+
+def non_latin(text: Column) -> Column:
+    """Whether the text holds a letter of one of the scripts of ``NON_LATIN``; ASCII texts are not searched."""
+    return F.when(F.octet_length(text) > F.length(text), text.rlike(NON_LATIN)).otherwise(F.lit(False))
+
+
 def words(text: Column) -> Column:
     """Tokens between white space."""
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")

@@ -43,8 +43,8 @@ def quality_reasons(t: Thresholds = DEFAULT) -> Column:
         ("openmath_trivial", (F.col("source_id") == MATH_SOURCE) & (F.length(F.coalesce("solution", F.lit(""))) < t.openmath_min_solution_chars)),
         ("incorrect_solution", ~F.col("is_correct")),
         ("not_python", python & (F.col("language_tag") != "") & ~F.lower("language_tag").isin("python", "python3", "py")),
-        ("non_english", _text().rlike(tx.NON_LATIN)),
-        ("os_io_boilerplate", python & _text().rlike(tx.OS_IO)),
+        ("non_english", tx.non_latin(_text())),
+        ("os_io_boilerplate", python & tx.matches(_text(), tx.OS_IO)),
     )
 
 
@@ -60,17 +60,17 @@ def highsignal(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     text, code = _text(), _code()
     python, math, stem = (F.coalesce(F.col("domain") == d, F.lit(False)) for d in ("python", "math", "stem"))
     n_solution = F.length(F.coalesce("solution", F.lit("")))
-    other = python & text.rlike(tx.OTHER_LANG)
-    tutorial = text.rlike(tx.TUTORIAL)
-    cp_text = text.rlike(tx.CP_IO)
-    utility = (text.rlike(tx.UTILITY_IO) | text.rlike(tx.OPEN_FILE)) & ~cp_text
-    cp_code = python & code.rlike(tx.CP_IO)
+    other = python & tx.matches(text, tx.OTHER_LANG)
+    tutorial = tx.matches(text, tx.TUTORIAL)
+    cp_text = tx.matches(text, tx.CP_IO)
+    utility = (tx.matches(text, tx.UTILITY_IO) | tx.matches(text, tx.OPEN_FILE)) & ~cp_text
+    cp_code = python & tx.matches(code, tx.CP_IO)
     named = F.coalesce(F.col("problem_id") != "", F.lit(False)) | F.lower(text).contains("problem")
     trivial = python & ~cp_code & (tx.nonempty_lines(code) <= t.trivial_max_lines) & ~code.rlike(tx.CONTROL) & ~named
     broken = python & ~F.coalesce("_parses", F.lit(True))
     thin = math & (n_solution < t.math_min_solution_chars)
-    solid = math & ~thin & (text.rlike(tx.MATH_HINT) | (n_solution >= t.math_long_solution_chars))
-    sparse = stem & ~(text.rlike(tx.ALGO_HINT) | text.rlike(tx.MATH_HINT))
+    solid = math & ~thin & (tx.matches(text, tx.MATH_HINT) | (n_solution >= t.math_long_solution_chars))
+    sparse = stem & ~(tx.matches(text, tx.ALGO_HINT) | tx.matches(text, tx.MATH_HINT))
     flags = {"o": other, "t": tutorial, "u": utility, "c": cp_code, "r": trivial, "b": broken, "m": thin, "s": solid, "d": sparse}
     df = with_syntax(df).withColumn("_f", F.struct(*[v.alias(k) for k, v in flags.items()]))
     f = lambda k: F.col(f"_f.{k}")

@@ -23,7 +23,7 @@ def test_only_the_vocabulary_metrics_have_no_sql():
 def test_vocabulary_metrics(spark, tiny):
     """Fixed texts and a fixed vocabulary, so fixed figures."""
     got = QUERIES["vocabulary_metrics"](spark, tiny).first().asDict()
-    assert (round(got["tokens_per_python_line"], 3), round(got["tokens_per_function"], 2), round(got["bytes_per_token"], 3)) == (7.814, 19.50, 2.896)
+    assert (round(got["tokens_per_python_line"], 3), round(got["tokens_per_function"], 2), round(got["compression_ratio"], 3)) == (7.814, 19.50, 2.896)
 
 
 def test_entry(spark):
