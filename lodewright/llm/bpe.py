@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodewright.llm.common import spread, tokenizer_file
+from lodewright.llm.common import ship_file, shipped_file, spread, tokenizer_file
 
 # White space as the tokenizer's own pattern engine reads \s (fixed by Unicode).
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -182,9 +182,9 @@ def encoder(path: str) -> BytePairEncoder:
     return _LOADED[path]
 
 
-def _encode_batches(path: str, lengths_only: bool):
+def _encode_batches(name: str, lengths_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shipped_file(name))
         for batch in batches:
             flat, ends = array("i"), [0]
             texts = batch.column(1).to_pylist()
@@ -214,7 +214,7 @@ def token_ids(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     path = vocabulary or tokenizer_file("byte_bpe_50k.json")
     src = spread(documents.select(id_col, text_col))
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(_encode_batches(path, False), f"`{id_col}` {kind}, ids array<int>")
+    return src.mapInArrow(_encode_batches(ship_file(documents.sparkSession, path), False), f"`{id_col}` {kind}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -222,4 +222,4 @@ def token_counts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     path = vocabulary or tokenizer_file("byte_bpe_50k.json")
     src = spread(documents.select(id_col, text_col))
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(_encode_batches(path, True), f"`{id_col}` {kind}, n_tokens bigint")
+    return src.mapInArrow(_encode_batches(ship_file(documents.sparkSession, path), True), f"`{id_col}` {kind}, n_tokens bigint")

@@ -8,6 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile(r"[^\W_]+")
@@ -33,11 +34,13 @@ def spread(df: DataFrame) -> DataFrame:
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local session gets a
+    temporary one; on a cluster it is an error, as no executor could read the driver's folder.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodewright-ckpt-"))
     return df.checkpoint(eager=True)
 
@@ -46,6 +49,23 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to all executors, once an application; its name for ``shipped_file``."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _SHIPPED:
+        sc.addFile(path)
+        _SHIPPED.add((sc.applicationId, path))
+    return os.path.basename(path)
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def shipped_file(name: str) -> str:
+    """Where a task finds a shipped file."""
+    return SparkFiles.get(name)
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer's file; ``LODEWRIGHT_TOKENIZERS`` overrides the folder."""
     return os.path.join(os.environ.get("LODEWRIGHT_TOKENIZERS", "/opt/tokenizers"), name)

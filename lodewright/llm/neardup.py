@@ -3,7 +3,9 @@
 1. Texts are normalised; equal normalised texts form a class, one of its documents represents it.
 2. A representative gets a MinHash sketch (one hash round fills many cells, empty cells borrow) and from
    it a fingerprint of 256 bits, one bit per cell.
-3. Candidate pairs share a band of the sketch. (Pivots only discard pairs, they cannot propose them.)
+3. Candidate pairs share a band of the sketch. (Pivots only discard pairs, they cannot propose them.) A band
+   of very many documents is split by classes of size, between which no pair reaches the similarity. On
+   request candidates come from a prefix-filtered join on rare grams instead, which misses none.
 4. Pivot table: each fingerprint's Hamming distances to reference fingerprints, spread over the
    fingerprints of a bounded sample of documents, travel with the bands. By the triangle inequality a
    pair whose coordinates differ by more than the radius anywhere is farther apart than the radius and
@@ -20,12 +22,13 @@ id first; documents of null id are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewright.llm.common import NOT_ALNUM, reliable, spread
@@ -36,6 +39,7 @@ BAND_ROWS = 6  # 48 bands: a pair at 0.7 is missed with 0.25 %, at 0.75 with 0.0
 BITS = 256
 PIVOTS = 8
 MAX_BROADCAST_IDS = 1_000_000
+HOT_BAND = 2_000  # documents of a band that is joined as it is
 PIVOT_SAMPLE = 2_000  # fingerprints of which the pivots are chosen
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -125,16 +129,18 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distances(pivots: np.ndarray):
-    """Pivot coordinates of fingerprints, one byte each, in one long."""
+    """Pivot coordinates of fingerprints, one byte each, eight in a long."""
+    width = (len(pivots) + 7) // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(n, BITS // 8)
-            d = np.zeros((n, 8), np.uint8)
+            d = np.zeros((n, width * 8), np.uint8)
             for j, p in enumerate(pivots):
                 d[:, j] = np.minimum(np.bitwise_count(fp ^ p).sum(1, dtype=np.int32), 255)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(d.view(np.int64).ravel())], names=["doc_id", "size", "bands", "pivots"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.array(d.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["doc_id", "size", "bands", "pivots"])
 
     return run
 
@@ -169,46 +175,91 @@ def _verify(similarity: float):
     return run
 
 
-def similar_classes(documents: DataFrame, similarity: float = 0.7, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` that may reach the similarity, none missed: prefix-filtered join on grams in order of rarity.
+
+    Two sets of that similarity share one of the rarest n - ceil(similarity * n) + 1 grams of each.
+    """
+    grams = reliable(texts.mapInArrow(_grams, "doc_id bigint, size int, grams array<bigint>"))
+    each = grams.select("doc_id", "size", F.explode("grams").alias("g"))
+    seen = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")  # a gram of one text pairs nothing, but counts in the prefix
+    ranked = each.join(seen, "g", "left").select("doc_id", "size", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g").alias("x"))
+    sets = ranked.groupBy("doc_id", "size").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    prefix = F.slice("xs", F.lit(1), (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1).cast("int"))
+    rows = reliable(sets.select("doc_id", "size", F.explode(F.filter(prefix, lambda x: x["n"] > 1)).alias("x")).select("doc_id", "size", F.col("x.g").alias("g")))
+    left, right = (rows.select("g", F.col("doc_id").alias(c), F.col("size").alias(f"s{c}")) for c in "ab")
+    return left.join(right, "g").where((F.col("a") < F.col("b")) & (F.col("sa") >= similarity * F.col("sb")) & (F.col("sb") >= similarity * F.col("sa"))).select("a", "b").distinct()
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(gram_hashes(normal(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+        size = np.array([len(x) for x in sets], np.int32)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), lists], names=["doc_id", "size", "grams"])
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], near: Column) -> DataFrame:
+    return left.join(right, on).where(near).select("a", "b")
+
+
+def similar_classes(documents: DataFrame, similarity: float = 0.7, *, id_col: str = "doc_id", text_col: str = "text", exact: bool = False, pivots: int = PIVOTS, hot: int = HOT_BAND) -> tuple[DataFrame, DataFrame]:
     """``(pairs, members)``.
 
     pairs: ``a, b, similarity`` of similar class representatives, a < b. members: ``rep, doc_id`` of every
-    document with a 5-gram.
+    document with a 5-gram. ``exact`` finds candidates by a join on rare grams that misses no pair, at the cost of
+    shuffling all grams.
     """
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     sk = reliable(spread(docs).mapInArrow(_sketches, "doc_id bigint, k binary, size int, bands array<bigint>, fp binary"))
     first = sk.groupBy("k").agg(F.min("doc_id").alias("rep"))
     members = sk.select("k", "doc_id").join(first, "k").select("rep", "doc_id")
     reps = sk.join(first, (sk["k"] == first["k"]) & (sk["doc_id"] == first["rep"]), "left_semi").select("doc_id", "size", "bands", "fp")
+    if exact:
+        pairs = _prefix_pairs(docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi"), similarity)
+        return _verified(docs, reliable(pairs), similarity), members
     sample = [bytes(r["fp"]) for r in sk.orderBy(F.xxhash64("doc_id"), "doc_id").select("fp").limit(PIVOT_SAMPLE).collect()]
     if not sample:
         return documents.sparkSession.createDataFrame([], "a bigint, b bigint, similarity double"), members
-    pivots = choose_pivots(sample)
-    table = reps.mapInArrow(_distances(pivots), "doc_id bigint, size int, bands array<bigint>, pivots bigint")
+    chosen = choose_pivots(sample, pivots)
+    table = reps.mapInArrow(_distances(chosen), "doc_id bigint, size int, bands array<bigint>, pivots array<bigint>")
     banded = table.select("doc_id", "size", "pivots", F.explode("bands").alias("band"))
-    left = banded.select("band", F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("pivots").alias("pa"))
-    right = banded.select("band", F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("pivots").alias("pb"))
+    # Counted in the exchange that the join needs anyway; bands of one document go.
+    banded = banded.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
+    size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(similarity)))
+    left = banded.select("band", "n", size_class.alias("class"), F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("pivots").alias("pa"))
+    right = banded.select("band", "n", size_class.alias("class"), F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("pivots").alias("pb"))
     near = (F.col("a") < F.col("b")) & (F.col("sa") >= similarity * F.col("sb")) & (F.col("sb") >= similarity * F.col("sa"))
     r = radius(similarity)
     few = F.least("sa", "sb") < CELLS
     close = F.lit(True)
-    for j in range(len(pivots)):
-        x, y = (F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(255)) for c in ("pa", "pb"))
+    for j in range(len(chosen)):
+        x, y = (F.shiftrightunsigned(F.col(c)[j // 8], 8 * (j % 8)).bitwiseAND(F.lit(255)) for c in ("pa", "pb"))
         close = close & (F.abs(x - y) <= r)
-    pairs = left.join(right, "band").where(near & (few | close)).select("a", "b", few.alias("few")).distinct()
+    near = near & (few | close)
+    # A crowded band is split by size: similar sizes are in the same class or in neighbouring ones.
+    crowd = right.where(F.col("n") > hot).select("band", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"), "b", "sb", "pb")
+    calm = _met(left.where(F.col("n") <= hot).drop("class", "n"), right.where(F.col("n") <= hot).drop("class", "n"), ["band"], near)
+    pairs = calm.unionByName(_met(left.where(F.col("n") > hot).drop("n"), crowd, ["band", "class"], near)).distinct()
     # Survivors are held against the radius on the fingerprints themselves before any text is fetched.
     words = [F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(BITS // 64)]
-    prints = reps.select("doc_id", F.array(*words).alias("w"))
-    pairs = pairs.join(prints.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(prints.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
+    prints = reps.select("doc_id", "size", F.array(*words).alias("w"))
+    pairs = pairs.join(prints.select(F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("w").alias("wa")), "a").join(prints.select(F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("w").alias("wb")), "b")
     apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(BITS // 64)), F.lit(0))
-    pairs = reliable(pairs.where(F.col("few") | (apart <= r)).select("a", "b"))
+    pairs = reliable(pairs.where(few | (apart <= r)).select("a", "b"))
+    return _verified(docs, pairs, similarity), members
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, similarity`` of the pairs that reach it, on the whole texts."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     need = reliable(need)
     # Ids of the documents to verify: sent to all executors while they are few, else joined.
     texts = docs.join(F.broadcast(need) if need.count() <= MAX_BROADCAST_IDS else need, "doc_id", "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     checked = both.select("a", "b", "ta", "tb").mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double")
-    return checked.distinct(), members
+    return checked.distinct()
 
 
 def near_duplicates(documents: DataFrame, same: DataFrame, similarity: float = 0.7) -> DataFrame:

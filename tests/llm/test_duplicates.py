@@ -45,6 +45,21 @@ def test_pairs_equal_brute_force(frame):
     assert want and got == want
 
 
+def test_exact_mode_crowded_bands_and_many_pivots_agree(frame):
+    rows = corpus()
+    df = frame(rows, "doc_id bigint, text string")
+    want = {(a, b) for (a, s), (b, t) in combinations(rows, 2) if s and t and jaccard(s, t) >= 0.7 and neardup.normal(s) != neardup.normal(t)}
+    first = {}
+    for i, t in rows:
+        first.setdefault(neardup.normal(t or ""), i)
+    reps = set(first.values())
+    want = {p for p in want if set(p) <= reps}
+    for how in ({"exact": True}, {"hot": 1}, {"pivots": 20}):
+        pairs, _ = neardup.similar_classes(df, 0.7, **how)
+        assert {(r.a, r.b) for r in pairs.collect()} == want, how
+    assert neardup.similar_classes(df.limit(0), 0.7, exact=True)[0].count() == 0
+
+
 def test_short_texts_beyond_the_radius(frame):
     """Similar texts of few grams whose fingerprints differ in 66 and 70 bits, more than the radius of 62."""
     rows = [(1, "cgsfycyvpmglkycz"), (2, "fycyvpmglkycz"), (3, "ykcazypdebqpjzifejbs"), (4, "ykcazypdebqpjzifejbskmirfr"), (5, "another text of its own")]
