@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewright.llm.common import NOT_ALNUM, reliable, spread
@@ -225,11 +225,9 @@ def similar_classes(documents: DataFrame, similarity: float = 0.7, *, id_col: st
     chosen = choose_pivots(sample, pivots)
     table = reps.mapInArrow(_distances(chosen), "doc_id bigint, size int, bands array<bigint>, pivots array<bigint>")
     banded = table.select("doc_id", "size", "pivots", F.explode("bands").alias("band"))
-    # Counted in the exchange that the join needs anyway; bands of one document go.
-    banded = banded.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
-    size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(similarity)))
-    left = banded.select("band", "n", size_class.alias("class"), F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("pivots").alias("pa"))
-    right = banded.select("band", "n", size_class.alias("class"), F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("pivots").alias("pb"))
+    size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(similarity))).alias("class")
+    left = banded.select("band", F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("pivots").alias("pa"))
+    right = banded.select("band", F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("pivots").alias("pb"))
     near = (F.col("a") < F.col("b")) & (F.col("sa") >= similarity * F.col("sb")) & (F.col("sb") >= similarity * F.col("sa"))
     r = radius(similarity)
     few = F.least("sa", "sb") < CELLS
@@ -239,9 +237,15 @@ def similar_classes(documents: DataFrame, similarity: float = 0.7, *, id_col: st
         close = close & (F.abs(x - y) <= r)
     near = near & (few | close)
     # A crowded band is split by size: similar sizes are in the same class or in neighbouring ones.
-    crowd = right.where(F.col("n") > hot).select("band", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"), "b", "sb", "pb")
-    calm = _met(left.where(F.col("n") <= hot).drop("class", "n"), right.where(F.col("n") <= hot).drop("class", "n"), ["band"], near)
-    pairs = calm.unionByName(_met(left.where(F.col("n") > hot).drop("n"), crowd, ["band", "class"], near)).distinct()
+    crowded = reliable(reps.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("band"))
+    if crowded.take(1):
+        many = banded.join(crowded, "band", "left_semi").select("*", size_class)
+        one = many.select("band", "class", F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("pivots").alias("pa"))
+        other = many.select("band", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"), F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("pivots").alias("pb"))
+        calm = _met(left.join(crowded, "band", "left_anti"), right.join(crowded, "band", "left_anti"), ["band"], near)
+        pairs = calm.unionByName(_met(one, other, ["band", "class"], near)).distinct()
+    else:
+        pairs = _met(left, right, ["band"], near).distinct()
     # Survivors are held against the radius on the fingerprints themselves before any text is fetched.
     words = [F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(BITS // 64)]
     prints = reps.select("doc_id", "size", F.array(*words).alias("w"))
