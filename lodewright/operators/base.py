@@ -23,7 +23,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input of very few splits over the cores; larger inputs stay as they are."""
+    """Spread an input of very few splits over the cores; larger inputs stay as they are.
+
+    Only what comes straight from a scan is counted: the partitions of anything behind a shuffle are its own affair, and
+    asking for their number would run the shuffle.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Repartition", "Join", "Aggregate", "Window", "Sort", "Distinct", "Deduplicate")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 

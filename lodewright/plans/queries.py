@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """The documents table in the pipeline's schema; ids become ``source:number``, hashes are those of the contract, computed anew."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))  # before anything is computed
     names = {
         "doc_id": F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), "source_id": F.col("source"), "language": F.col("lang"), "ord": F.col("doc_id"),
         "normalized_hash": normalized_hash(F.col("text")), "raw_hash": raw_hash(F.col("text")),
@@ -157,7 +157,7 @@ def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quality_removed(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.apply_quality(spread(documents(spark, sf)))[1].select("doc_id", "reason_codes")
+    return quality.apply_quality(documents(spark, sf))[1].select("doc_id", "reason_codes")
 
 
 def highsignal_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +167,7 @@ def highsignal_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def highsignal_removed(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.apply_highsignal(spread(documents(spark, sf)))[1].select("doc_id", "reason_codes", "score")
+    return quality.apply_highsignal(documents(spark, sf))[1].select("doc_id", "reason_codes", "score")
 
 
 def syntax_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,7 +301,7 @@ def reason_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 def reason_histogram_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Like ``reason_histogram``, with the syntax test, which SQL does not have."""
-    return metrics.reason_histogram(quality.apply_quality(spread(documents(spark, sf)))[1])
+    return metrics.reason_histogram(quality.apply_quality(documents(spark, sf))[1])
 
 
 def math_gap(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,7 +311,7 @@ def math_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stage_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.funnel(pipeline.run(spread(_with_contests(documents(spark, sf))), references(spark, sf), frozen_vocabulary()))
+    return pipeline.funnel(pipeline.run(_with_contests(documents(spark, sf)), references(spark, sf), frozen_vocabulary()))
 
 
 QUERIES = {

@@ -212,6 +212,23 @@ def test_normalize_reasons(spark):
     assert [tuple(r[0]) for r in df.select(ingest.normalize(F.col("t"), F.col("is_text"))).collect()] == [("a", None), (None, "binary"), (None, "not_text"), (None, "not_text"), ("", None)]
 
 
+def test_spread_leaves_what_is_behind_a_shuffle(spark):
+    small = spark.range(10, numPartitions=1)
+    assert base.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    grouped = small.groupBy("id").count()
+    assert base.spread(grouped) is grouped and base.spread(base.spread(small)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_patterns_are_found_behind_their_words(spark):
+    """The quick search never hides a match, whatever the case and the letters that fold to ASCII."""
+    hits = ["use SUBPROCESS now", "x os.\u017fystem y", "DOC\u212aER", "a flask.Flask", "how To Use", "\\FRAC", "Q.E.D.", "dynam\u0131c programming", "#INCLUDE   <x>", "def f(): input (1)", "sys.stdin", "no hint here", "undocked flasks", ""]
+    df = spark.createDataFrame([(t,) for t in hits], "t string")
+    for name in ("OS_IO", "OTHER_LANG", "CP_IO", "UTILITY_IO", "OPEN_FILE", "TUTORIAL", "ALGO_HINT", "MATH_HINT"):
+        pattern = getattr(tx, name)
+        rows = df.select("t", tx.matches(F.col("t"), pattern), F.col("t").rlike(pattern)).collect()
+        assert [r[1] for r in rows] == [r[2] for r in rows], (name, rows)
+
+
 def test_a_cluster_needs_a_shared_checkpoint_folder():
     class Context:
         master = "spark://host:7077"
