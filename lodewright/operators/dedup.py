@@ -16,14 +16,17 @@ from lodewright.operators.base import checkpoint, spread
 SETTLED_AT_ONCE = 500_000  # open edges of two ids each that one task settles
 
 
-def exact_removed(df: DataFrame, key: str = "normalized_hash", order: Column | None = None) -> DataFrame:
+def exact_removed(df: DataFrame, key: str = "normalized_hash", order: Column | None = None, pin: bool = True) -> DataFrame:
     """``doc_id, source_id, duplicate_of, o`` of every row that is not the first of its hash; needs no text.
 
+    ``pin`` writes ids and hashes down first, so that the hash of a text is computed once for both uses.
+
     The first per hash is an aggregate with map-side combining, so a hash with very many copies does
     not gather in one task before it is reduced; rows of a null hash are no duplicates of each other.
     """
     order = F.col("ord") if order is None else order
     slim = df.select("doc_id", "source_id", F.col(key).alias("h"), order.alias("o")).where("h is not null")
+    slim = checkpoint(slim) if pin else slim
     first = slim.groupBy("h").agg(F.min(F.struct("o", "doc_id")).alias("first"))
     return slim.join(first, "h").where(F.struct("o", "doc_id") != F.col("first")).select("doc_id", "source_id", F.col("first.doc_id").alias("duplicate_of"), "o")
 

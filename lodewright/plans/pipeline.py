@@ -76,7 +76,7 @@ def run(docs: DataFrame, refs: DataFrame, vocabulary: Vocabulary | None = None,
     capped = dedup.problem_rank(now.where(contest)).where(F.col("_rn") > t.problem_cap).select("doc_id", "problem_id")
     capped = checkpoint(capped)
     now = now.join(capped.select("doc_id"), "doc_id", "left_anti")
-    exact = checkpoint(dedup.exact_removed(dedup.contest_order(now)).select("doc_id", "duplicate_of"))
+    exact = checkpoint(dedup.exact_removed(dedup.contest_order(now), pin=False).select("doc_id", "duplicate_of"))
     gone = capped.select("doc_id").unionByName(exact.select("doc_id"))
     sigs = known.where("ingest is null").join(gone, "doc_id", "left_anti").select(F.struct("source_id", "doc_id").alias("k"), "sig")
     near = checkpoint(dedup.near_removed(sigs, t).select("doc_id", "duplicate_of"))
