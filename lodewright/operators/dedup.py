@@ -5,12 +5,17 @@ Order matters in all three: input rows carry ``ord``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewright.config import CONTEST_SOURCE, DEFAULT, Thresholds
-from lodewright.functions.hashing import band_keys, estimated_jaccard, minhash
+from lodewright.functions.hashing import estimated_jaccard, group_keys, minhash, position_bits, position_groups
 from lodewright.operators.base import checkpoint, spread
 
 SETTLED_AT_ONCE = 500_000  # open edges of two ids each that one task settles
@@ -49,55 +54,168 @@ def with_signature(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return spread(df.select("source_id", "doc_id", "text")).select(F.struct("source_id", "doc_id").alias("k"), minhash(F.col("text"), t.permutations, t.shingle).alias("sig"))
 
 
-def signatures(sigs: DataFrame) -> DataFrame:
-    """``k, rep, sig``: with the first document (by source, id) that has the same signature."""
-    key = (F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2"))
-    # Map-side combined, so a signature that a large share of documents has stays small.
-    first = sigs.select("k", *key).groupBy("h1", "h2").agg(F.min("k").alias("rep"))
-    return checkpoint(sigs.select("k", "sig", *key).join(first, ["h1", "h2"]).select("k", "rep", "sig"))
+def with_copies(df: DataFrame, t: Thresholds = DEFAULT, key: str = "normalized_hash") -> DataFrame:
+    """``n, k, o, h, sig`` of each document, written down: near dedup of these drops copies of a text (later rows of a hash) first.
+
+    One pass over the texts, which are not shuffled to find the copies. The price: copies get a signature too.
+    """
+    h = F.coalesce(F.unhex(F.col(key)), F.col(key).cast("binary"))
+    d = spread(df.select("source_id", "doc_id", "ord", key, "text"))
+    return checkpoint(d.select(F.monotonically_increasing_id().alias("n"), F.struct("source_id", "doc_id").alias("k"), F.col("ord").alias("o"), h.alias("h"), minhash(F.col("text"), t.permutations, t.shingle).alias("sig")))
+
+
+@dataclass(frozen=True)
+class Signed:
+    """Signatures are written once and not shuffled as a whole: what needs few of them picks them by marks, one bit a row."""
+
+    rows: DataFrame  # n, k, sig: all documents, written down
+    copies: DataFrame  # k, rep: documents whose signature an earlier one (by source, id) has
+    firsts: DataFrame  # marks of the first document of each signature
+
+
+def signatures(sigs: DataFrame) -> Signed:
+    """From ``k, sig``, or from ``with_copies``."""
+    rows = sigs if "n" in sigs.columns else checkpoint(sigs.select(F.monotonically_increasing_id().alias("n"), "k", "sig"))
+    slim = rows.select(*[c for c in rows.columns if c != "sig"], F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2"))
+    # Both aggregates combine on the map side, so a text or signature that a large share of documents has stays small.
+    if "h" in rows.columns:
+        first = slim.groupBy("h", F.when(F.col("h").isNull(), F.col("n"))).agg(F.min(F.struct("o", "k.doc_id", "n", "k")).alias("first"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+        slim = first.select("first.n", "first.k", "h1", "h2")
+    slim = checkpoint(slim)
+    first = slim.groupBy("h1", "h2").agg(F.min(F.struct("k", "n")).alias("first"))
+    copies = slim.join(first, ["h1", "h2"]).where((F.col("n") != F.col("first.n")) & (F.col("k") != F.col("first.k"))).select("k", F.col("first.k").alias("rep"))
+    return Signed(rows.select("n", "k", "sig"), copies, _marks(first.select("first.n")))
 
 
-def near_edges(df: DataFrame | None, t: Thresholds = DEFAULT, sigs: DataFrame | None = None, hot: int = 1_000) -> DataFrame:
+def _marks(rows: DataFrame) -> DataFrame:
+    """``bucket, bits``: a bit for each ``n`` of ``rows``; what is sent around is an eighth of a byte per document."""
+    return checkpoint(rows.groupBy(F.expr("bitmap_bucket_number(n + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(n + 1))").alias("bits")))
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``n`` is marked, without a shuffle."""
+    byte = "cast(conv(hex(substring(bits, cast(bitmap_bit_position(n + 1) div 8 as int) + 1, 1)), 16, 10) as int)"
+    found = rows.join(F.broadcast(marks), F.expr("bitmap_bucket_number(n + 1) = bucket"))
+    return found.where(f"bit_get({byte}, cast(bitmap_bit_position(n + 1) % 8 as int)) = 1").select(*rows.columns)
+
+
+_KEYED = "key bigint, n bigint, bits0 bigint, bits1 bigint"
+_FOUND = "x bigint, y bigint, key bigint"
+
+
+def near_edges(df: DataFrame | None, t: Thresholds = DEFAULT, sigs: Signed | None = None, hot: int = 1_000) -> DataFrame:
     """Pairs ``a, b`` (``b`` before ``a`` in order of source and id) of estimated similarity of at least the cutoff.
 
     Only documents that are the first of their signature are paired: documents of equal signature have equal
-    neighbours. ``band`` is the first band a pair shares. Above a cutoff of 1 - (bands - 1) / permutations no
-    pair is missed, as then fewer positions differ than there are bands. Where the cutoff even forces two shared bands,
-    a bucket of more than ``hot`` documents is not paired as it is but split by each other band: a template that gives very
-    many documents one band costs no square of them.
+    neighbours. ``band`` is the first band a pair shares. At the cutoff ``most`` positions may differ, so of ``most + 1`` groups
+    of positions a pair shares one, and no pair is missed; below a cutoff of 1 - (bands - 1) / permutations the groups are the bands
+    themselves. Each document sends one row a group: key, number and one bit a position, by which most pairs that differ too much
+    are dropped before anything is joined. A group that more than ``hot`` documents share is split by groups of the other
+    positions: a template that gives very many documents one key costs no square of them. Signatures are shuffled only of
+    documents that are left in a pair.
     """
-    sigs = signatures(checkpoint(with_signature(df, t))) if sigs is None else sigs
-    firsts = sigs.where(F.col("k") == F.col("rep")).select("k", "sig")
-    keyed = firsts.select("k", band_keys(F.col("sig"), t.band_size).alias("keys"))
-    n_bands = t.permutations // t.band_size
-    forced = n_bands - int((1 - t.near_cutoff) * t.permutations + 1e-9)
-    pairs = _paired(keyed.select("k", F.posexplode("keys").alias("band", "key")), ["band", "key"])
-    if forced >= 2:
-        rows = checkpoint(keyed.select("k", "keys", F.posexplode("keys").alias("band", "key")))
-        many = checkpoint(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("band", "key"))
-        calm = rows.select("k", "band", "key")
-        if many.take(1):
-            crowd = rows.join(many, ["band", "key"], "left_semi").select("k", "band", "key", F.posexplode("keys").alias("other", "key2")).where("other <> band")
-            calm = calm.join(many, ["band", "key"], "left_anti")
-            pairs = _paired(calm, ["band", "key"]).unionByName(_paired(crowd, ["band", "key", "other", "key2"]))
-        else:
-            pairs = _paired(calm, ["band", "key"])
-    pairs = pairs.select("a", "b").distinct()
-    pairs = pairs.join(firsts.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(firsts.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
-    near = pairs.withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= t.near_cutoff)
+    sigs = signatures(with_signature(df, t)) if sigs is None else sigs
+    n_bands, most = t.permutations // t.band_size, int((1 - t.near_cutoff) * t.permutations + 1e-9)
+    forced = most < n_bands
+    groups = position_groups(list(range(t.permutations)), most + 1) if forced else [list(range(i * t.band_size, (i + 1) * t.band_size)) for i in range(n_bands)]
+    slim = sigs.rows.select("n", "sig")
+    keyed = _marked(slim, sigs.firsts).mapInArrow(_keyed(t.permutations, groups), _KEYED)
+    found = checkpoint(keyed.repartition("key").mapInArrow(_paired(most, hot if forced else None), _FOUND))
+    pairs, crowd = found.where("y is not null").select("x", "y"), found.where("y is null")
+    if crowd.take(1):
+        # At most documents x groups / hot keys.
+        many = np.sort(np.array([r["key"] for r in crowd.select("key").distinct().collect()], np.int64).view(np.uint64))
+        sent = crowd.sparkSession.sparkContext.broadcast(many)
+        split = _marked(slim, _marks(crowd.select(F.col("x").alias("n")))).mapInArrow(_split(t.permutations, groups, most + 1, sent), _KEYED)
+        pairs = pairs.unionByName(split.repartition("key").mapInArrow(_paired(most, None), _FOUND).select("x", "y"))
+    pairs = checkpoint(pairs.distinct())
+    few = _marked(sigs.rows, _marks(pairs.select(F.col("x").alias("n")).unionByName(pairs.select(F.col("y").alias("n")))))
+    both = pairs.join(few.select(F.col("n").alias("x"), F.col("k").alias("kx"), F.col("sig").alias("sx")), "x").join(few.select(F.col("n").alias("y"), F.col("k").alias("ky"), F.col("sig").alias("sy")), "y")
+    near = both.withColumn("similarity", estimated_jaccard(F.col("sx"), F.col("sy"))).where((F.col("similarity") >= t.near_cutoff) & (F.col("kx") != F.col("ky")))
     # The first band in which all positions are equal.
-    same = F.zip_with("sa", "sb", lambda x, y: x == y)
+    same = F.zip_with("sx", "sy", lambda x, y: x == y)
     whole = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.forall(F.slice(same, i * t.band_size + 1, t.band_size), lambda x: x))
-    return near.select("a", "b", (F.array_position(whole, F.lit(True)) - 1).cast("int").alias("band"), "similarity")
-
-
-def _paired(rows: DataFrame, on: list[str]) -> DataFrame:
-    left, right = rows.select(F.col("k").alias("a"), *on), rows.select(F.col("k").alias("b"), *on)
-    return left.join(right, on).where(F.col("b") < F.col("a")).select("a", "b", "band")
+    return near.select(F.greatest("kx", "ky").alias("a"), F.least("kx", "ky").alias("b"), (F.array_position(whole, F.lit(True)) - 1).cast("int").alias("band"), "similarity")
+
+
+def _rows_of(batch: pa.RecordBatch, permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    n, sig = batch.column("n").to_numpy(), batch.column("sig").flatten().to_numpy()
+    return n, sig.view(np.uint64).reshape(len(n), permutations)
+
+
+def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=names)
+
+
+def _keyed(permutations: int, groups: list[list[int]]):
+    """One row per document and group of positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sig = _rows_of(batch, permutations)
+            yield _batch(["key", "n", "bits0", "bits1"], group_keys(sig, groups).T.ravel(), *[np.tile(c, len(groups)) for c in (n, *position_bits(sig))])
+
+    return run
+
+
+def _split(permutations: int, groups: list[list[int]], parts: int, many):
+    """Rows of crowded keys again, one per group of the positions outside the key's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sig = _rows_of(batch, permutations)
+            keys, bits = group_keys(sig, groups), position_bits(sig)
+            for g, own in enumerate(groups):
+                at = np.flatnonzero(np.isin(keys[:, g], many.value))
+                rest = sorted(set(range(permutations)) - set(own))
+                inner = position_groups(rest, parts) if len(rest) >= parts else [[]]
+                if len(at):
+                    yield _batch(["key", "n", "bits0", "bits1"], group_keys(sig[at], inner, keys[at, g]).T.ravel(), *[np.tile(c[at], len(inner)) for c in (n, *bits)])
+
+    return run
+
+
+def _paired(most: int, hot: int | None):
+    """From the rows of whole keys: pairs ``x < y`` whose bits differ in at most ``most`` positions; of a key of more than ``hot`` rows its rows, with ``y`` null."""
+    names = ["x", "y", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not read:
+            return
+        key, n, bits0, bits1 = (np.concatenate([r[i] for r in read]) for i in range(4))
+        del read
+        order = np.argsort(key)
+        key = key[order]
+        size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+        size = np.repeat(size, size)
+        if hot is not None and (crowd := size > hot).any():
+            yield pa.RecordBatch.from_arrays([pa.array(n[order[crowd]]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(key[crowd])], names=names)
+        keep = (size > 1) if hot is None else (size > 1) & (size <= hot)
+        key, order = key[keep], order[keep]
+        n, bits0, bits1 = n[order], bits0[order].view(np.uint64), bits1[order].view(np.uint64)  # counted unsigned: of a negative number numpy counts the bits of its absolute value
+        left, step, out, held = np.arange(len(key)), 0, [], 0
+        while len(left):
+            step += 1
+            left = left[: np.searchsorted(left, len(key) - step)]
+            left = left[key[left] == key[left + step]]
+            for part in np.array_split(left, len(left) // 1_000_000 + 1):
+                apart = np.bitwise_count(bits0[part] ^ bits0[part + step]) + np.bitwise_count(bits1[part] ^ bits1[part + step])
+                close = part[apart <= most]
+                x, y = n[close], n[close + step]
+                out.append((np.minimum(x, y), np.maximum(x, y), key[close]))
+                held += len(close)
+                if held > 50_000:
+                    yield _batch(names, *[np.concatenate(c) for c in zip(*out)])
+                    out, held = [], 0
+        if held:
+            yield _batch(names, *[np.concatenate(c) for c in zip(*out)])
+
+    return run
 
 
 def near_removed(sigs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """``doc_id, source_id, duplicate_of`` of every document that goes, from ``k, sig``; needs no text.
+    """``doc_id, source_id, duplicate_of`` of every document that goes, from ``k, sig`` or ``with_copies``; needs no text.
 
     Greedy in order of source and id: a row goes if it is similar to an earlier row that stays. Solved over the
     (sparse) edges between first documents of a signature, in rounds: rows whose earlier neighbours have all gone
@@ -106,8 +224,8 @@ def near_removed(sigs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     earlier kept neighbour of the first shared band, then the first in order.
     """
     sigs = signatures(sigs)
-    edges = checkpoint(near_edges(None, t, sigs))
-    kind = sigs.schema["k"].dataType.simpleString()
+    edges, copies = checkpoint(near_edges(None, t, sigs)), checkpoint(sigs.copies)
+    kind = sigs.rows.schema["k"].dataType.simpleString()
     open_edges, gone = edges.select("a", "b"), None
     while open_edges.count() > SETTLED_AT_ONCE:
         # b is settled to stay if it has no open earlier neighbour itself.
@@ -117,13 +235,13 @@ def near_removed(sigs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
         rest = open_edges.join(out.withColumnRenamed("k", "a"), "a", "left_anti").join(out.withColumnRenamed("k", "b"), "b", "left_anti")
         open_edges = checkpoint(rest)
     flat = open_edges.select("a.source_id", "a.doc_id", F.col("b.source_id").alias("source_b"), F.col("b.doc_id").alias("doc_b"), F.lit(0).alias("one"))
-    last = flat.groupBy("one").applyInPandas(_settle, sigs.select("k.source_id", "k.doc_id").schema).select(F.struct("source_id", "doc_id").cast(kind).alias("k"))
+    last = flat.groupBy("one").applyInPandas(_settle, sigs.rows.select("k.source_id", "k.doc_id").schema).select(F.struct("source_id", "doc_id").cast(kind).alias("k"))
     gone = checkpoint(last if gone is None else gone.unionByName(last))
     # Kept neighbours of a signature, in either direction, and its own first document if that stays.
     near = edges.select(F.col("a").alias("rep"), F.col("b").alias("other"), "band").union(edges.select("b", "a", "band"))
-    own = sigs.where(F.col("k") == F.col("rep")).select("rep", F.col("rep").alias("other"), F.lit(0).alias("band"))
+    own = copies.select("rep", F.col("rep").alias("other"), F.lit(0).alias("band")).distinct()
     near = near.unionByName(own).join(gone.withColumnRenamed("k", "other"), "other", "left_anti")
-    lost = sigs.where(F.col("k") != F.col("rep")).select("k", "rep").unionByName(gone.select("k", F.col("k").alias("rep")))
+    lost = copies.unionByName(gone.select("k", F.col("k").alias("rep")))
     named = lost.join(near, "rep").where(F.col("other") < F.col("k")).groupBy("k").agg(F.min_by("other", F.struct("band", "other")).alias("b"))
     return named.select("k.doc_id", "k.source_id", F.col("b.doc_id").alias("duplicate_of"))
 
@@ -146,7 +264,7 @@ def _settle(edges: pd.DataFrame) -> pd.DataFrame:
 
 def near_dedup(df: DataFrame, t: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """``(kept, removed)`` of ``near_removed``; ids are unique (exact deduplication comes first)."""
-    lost = near_removed(checkpoint(with_signature(df, t)), t)
+    lost = near_removed(with_signature(df, t), t)
     removed = lost.select("doc_id", "source_id", F.lit("near_dedup").alias("stage"), F.array(F.lit("near_duplicate")).alias("reason_codes"), "duplicate_of")
     return df.join(removed.select("doc_id"), "doc_id", "left_anti").select(*df.columns), removed
 

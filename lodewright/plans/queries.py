@@ -129,8 +129,7 @@ def near_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    kept, _ = dedup.exact_dedup(documents(spark, sf))
-    return dedup.near_dedup(kept)[1].select("doc_id", "duplicate_of")
+    return dedup.near_removed(dedup.with_copies(documents(spark, sf))).select("doc_id", "duplicate_of")
 
 
 def problem_cap(spark: SparkSession, sf: str) -> DataFrame:

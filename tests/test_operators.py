@@ -1,5 +1,6 @@
 """Operators on small planted inputs, against plain Python."""
 
+import hashlib
 import json
 import random
 
@@ -8,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodewright.config import DEFAULT, DOCUMENT
+from lodewright.functions import hashing
 from lodewright.functions import text as tx
 from lodewright.functions.hashing import estimated_jaccard, fingerprint, minhash, minhash_values, normalized_hash
 from lodewright.operators import base, contamination, dedup, ingest, license, metrics, mixture, packing, quality
 from lodewright.operators.packing import apply_table, block_table
+from lodewright.plans.queries import QUERIES
 
 DOC = {f.name: None for f in DOCUMENT.fields}
 
@@ -80,6 +83,65 @@ def test_rounds_of_near_dedup_equal_one_task(spark, monkeypatch):
     assert at_once and {tuple(r) for r in dedup.near_removed(sigs).collect()} == at_once
 
 
+def many_documents(spark, tiny, folder):
+    """The smallest documents ten times, each time with other words at their end."""
+    d = spark.read.parquet(f"{tiny}/documents.parquet")
+    tens = d.crossJoin(spark.range(10).toDF("turn"))
+    text = F.concat("text", *[F.concat(F.lit(" "), F.substring(F.md5(F.concat("turn", F.lit(f":{i}:"), "doc_id")), 1, 6)) for i in range(40)])
+    tens.withColumn("text", text).withColumn("doc_id", F.col("doc_id") + F.col("turn") * 1_000_000).drop("turn").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["near_dedup"])
+def test_near_queries_write_little_more_than_a_signature_a_document(spark, tiny, tmp_path, name):
+    n = many_documents(spark, tiny, tmp_path)
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "kept"))
+    assert QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert sum(p.stat().st_size for p in (tmp_path / "kept").rglob("part-*")) < 2_500 * n
+
+
+def template_rows(n, seed):
+    """Documents of one long head and of few, changed tails; some are copies or have no hash."""
+    rng = random.Random(seed)
+    head = [f"template{i}" for i in range(30)]
+    rows = [" ".join(head + [f"{rng.choice('abcdef')}{rng.randint(0, 3)}" for _ in range(rng.choice([6, 12, 40]))]) for _ in range(n)]
+    texts = rows + rows[:5] + ["", "", "abc", "x\u4e00y" * 9, "x\u4e00y" * 10]
+    return [{"text": t, "source_id": rng.choice(["r", "s", None]), "normalized_hash": None if i % 9 == 0 else hashlib.sha256(t.encode()).hexdigest()} for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("hot", [4, 1_000])
+def test_near_edges_are_those_of_all_pairs(spark, hot):
+    rows = template_rows(70, 4)
+    firsts, known, seen = {}, {}, set()
+    for i, r in enumerate(rows):
+        if r["normalized_hash"] is None or r["normalized_hash"] not in seen:
+            seen.add(r["normalized_hash"])
+            sig = minhash_values(r["text"], DEFAULT.permutations, DEFAULT.shingle)
+            k = (r["source_id"] or "", f"d{i:03}")
+            firsts[sig.tobytes()] = min(k, firsts.get(sig.tobytes(), k))
+            known[k] = sig
+    own = sorted(firsts.values())
+    want = {(a[1], b[1], float((known[a] == known[b]).mean())) for i, a in enumerate(own) for b in own[:i] if (known[a] == known[b]).mean() >= DEFAULT.near_cutoff}
+    sigs = dedup.signatures(dedup.with_copies(docs(spark, rows)))
+    got = [(r.a.doc_id, r.b.doc_id, r.similarity) for r in dedup.near_edges(None, sigs=sigs, hot=hot).collect()]
+    assert want and len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("bits", [2, 22])
+def test_signatures_are_those_of_plain_hashing(monkeypatch, bits):
+    monkeypatch.setattr(hashing, "SLOT_BITS", bits)
+    monkeypatch.setattr(hashing, "_MET", {})
+    rng = random.Random(6)
+    for n in (1, 4, 5, 70):
+        add, mul = hashing._family(128)
+        for alphabet in ("ab", "a\0", "a\u00e9\u0fff", "a\u0ffe\u1000", "a\U0001f600", "a\ud800", "\uffff"):
+            for size in (0, 1, 4, 5, 6, 700):
+                text = "".join(rng.choice(alphabet) for _ in range(size))
+                base = [int.from_bytes(hashlib.sha256(g.encode("utf-8", "surrogatepass")).digest()[:8], "little") for g in hashing.shingles(text, n)]
+                want = (np.array(base, np.uint64)[:, None] * mul + add).min(axis=0) if base else np.zeros(128, np.uint64)
+                assert (minhash_values(text, 128, n) == want).all()
+
+
 def test_minhash_estimates_similarity(spark):
     a, b = "the quick brown fox jumps over the lazy dog " * 3, "the quick brown fox jumps over the lazy cat " * 3
     row = spark.createDataFrame([(a, b, "")], "a string, b string, e string").select(estimated_jaccard(minhash(F.col("a")), minhash(F.col("b"))), estimated_jaccard(minhash(F.col("a")), minhash(F.col("a"))), minhash(F.col("e"))).first()
