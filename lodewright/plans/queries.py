@@ -124,8 +124,8 @@ def minhash_signatures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_edges(spark: SparkSession, sf: str) -> DataFrame:
-    kept, _ = dedup.exact_dedup(documents(spark, sf))
-    return dedup.near_edges(kept).select(F.col("a.doc_id").alias("later"), F.col("b.doc_id").alias("earlier"), "band", "similarity")
+    sigs = dedup.signatures(dedup.with_copies(documents(spark, sf)))
+    return dedup.near_edges(None, sigs=sigs).select(F.col("a.doc_id").alias("later"), F.col("b.doc_id").alias("earlier"), "band", "similarity")
 
 
 def near_dedup(spark: SparkSession, sf: str) -> DataFrame:

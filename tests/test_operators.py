@@ -92,7 +92,7 @@ def many_documents(spark, tiny, folder):
     return spark.read.parquet(f"{folder}/documents.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["near_dedup"])
+@pytest.mark.parametrize("name", ["near_dedup", "near_edges"])
 def test_near_queries_write_little_more_than_a_signature_a_document(spark, tiny, tmp_path, name):
     n = many_documents(spark, tiny, tmp_path)
     spark.sparkContext.setCheckpointDir(str(tmp_path / "kept"))
